@@ -96,7 +96,7 @@ TX_TEXT = {
     "sender_account_id": f"CASE WHEN {_N} % 103 = 0 THEN NULL ELSE sender_account_id END",
     "sender_country": f"CASE WHEN {_N} % 89 = 0 THEN NULL ELSE sender_country END",
     "amount_npr": f"CASE WHEN {_N} % 53 = 0 THEN 'abc' WHEN {_N} % 59 = 0 THEN NULL "
-    "ELSE CAST(CAST(amount_npr AS BIGINT) AS STRING) END",
+    "ELSE CAST(CAST(round(amount_npr, 0) AS BIGINT) AS STRING) END",
     "is_cross_border": f"CASE WHEN {_N} % 61 = 0 THEN '' ELSE CAST(is_cross_border AS STRING) END",
     "ip_is_vpn": f"CASE WHEN {_N} % 67 = 0 THEN 'yes' ELSE CAST(ip_is_vpn AS STRING) END",
     "is_fraud": "CAST(is_fraud AS STRING)",

@@ -34,6 +34,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def find(spark: SparkSession, root: str, name: str) -> str | None:
+    """Path of the first table called ``name`` at any depth under ``root``.
+
+    Folders are listed level by level; a parquet table may be a file or a folder.
+    """
+    level = [root] if exists(spark, root) else []
+    while level:
+        below = []
+        for folder in level:
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            for status in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target):
+                path = status.getPath()
+                if path.getName() == name:
+                    return path.toString()
+                if status.isDirectory():
+                    below.append(path.toString())
+        level = sorted(below)
+    return None
+
+
 def load_transactions(
     spark: SparkSession,
     interim: str,
@@ -49,19 +69,10 @@ def load_transactions(
     """
     if exists(spark, interim):
         return read_parquet(spark, interim)
-    if input_dir is not None and exists(spark, input_dir):
-        found = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "transactions.parquet")
-            .load(input_dir)
-            .select("path")
-            .orderBy("path")
-            .limit(1)
-            .collect()
-        )
-        if found:
-            return read_parquet(spark, found[0]["path"])
+    if input_dir is not None:
+        found = find(spark, input_dir, "transactions.parquet")
+        if found is not None:
+            return read_parquet(spark, found)
     if csv is not None and exists(spark, csv):
         return read_csv(spark, csv, csv_schema, csv_rows)
     raise FileNotFoundError(f"no transactions found at {interim}, {input_dir} or {csv}")
