@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,22 +182,20 @@ def describe_scores(alerts: DataFrame, col: str = "risk_score") -> DataFrame:
     Quartiles are read from running counts over the distinct values, so no
     task has to hold all of them.
     """
-    one = F.lit(1).alias("_k")
     moments = alerts.agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
-    ).select("*", one)
+    ).first()
     counted = alerts.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
     upto = running(counted, [F.col(col)], {"_upto": F.col("_n")})
-    ranked = upto.select("*", one).join(F.broadcast(moments.select("_k", F.col("count").alias("_rows"))), "_k")
     quartiles = []
     for q in (0.25, 0.5, 0.75):
-        at = F.lit(q) * (F.col("_rows") - 1)
-        low = F.min(F.when(F.col("_upto") > F.floor(at), F.col(col)))
-        high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(col)))
-        weight = F.max(at - F.floor(at))
-        quartiles.append((low + (high - low) * weight).alias(f"p{int(q * 100)}"))
-    return moments.join(F.broadcast(ranked.groupBy("_k").agg(*quartiles)), "_k").drop("_k")
+        at = q * (moments["count"] - 1)
+        low = F.min(F.when(F.col("_upto") > math.floor(at), F.col(col)))
+        high = F.min(F.when(F.col("_upto") > math.ceil(at), F.col(col)))
+        quartiles.append((low + (high - low) * (at - math.floor(at))).alias(f"p{int(q * 100)}"))
+    fixed = [F.lit(moments[n]).alias(n) for n in ("count", "mean", "std", "min", "max")]
+    return upto.agg(*quartiles).select(*fixed, "p25", "p50", "p75")
 
 
 def null_counts(df: DataFrame, n: int = 5) -> DataFrame:

@@ -45,41 +45,51 @@ def activity_windows(
     windows of ordinary keys share one shuffle by ``key``.
     """
     ordinary, dense = split_heavy(df, key, dense_rows)
-    out = _sliding(ordinary, key, ts, tie, value, hours)
-    whole = Window.partitionBy(key)
-    out = out.select(
-        "*",
-        F.lag(ts).over(whole.orderBy(ts, tie)).alias("previous_ts"),
-        F.avg(value).over(whole).alias("key_mean"),
-        F.stddev_samp(value).over(whole).alias("key_std"),
-    )
+    out = native_windows(ordinary, key, ts, tie, value, hours)
     if dense is None:
         return out
-    stats = dense.groupBy(key).agg(
-        F.avg(value).alias("key_mean"), F.stddev_samp(value).alias("key_std"), F.count("*").alias("_n")
-    )
-    heavy = _prefixed(dense, key, ts, tie, value, hours)
-    heavy = running(heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)})
-    return out.unionByName(spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n"))
+    return out.unionByName(chunked_windows(dense, key, ts, tie, value, hours, hot_rows))
 
 
-def _sliding(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:
-    """Native range frames; all of them share one shuffle by ``key``.
+def native_windows(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:
+    """The activity windows as Spark windows over one shuffle by ``key``.
 
     A range frame takes every row with the current time, so the rows of the
     same time that come later are taken off again.
     """
-    by_time = Window.partitionBy(key).orderBy(ts)
-    same = Window.partitionBy(key, ts)
+    whole, same, by_time = Window.partitionBy(key), Window.partitionBy(key, ts), Window.partitionBy(key).orderBy(ts)
     upto = same.orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later_n = F.count("*").over(same) - F.count("*").over(upto)
-    later_v = F.sum(value).over(same) - F.sum(value).over(upto)
+    ordered = df.select(
+        "*",
+        F.lag(ts).over(whole.orderBy(ts, tie)).alias("previous_ts"),
+        F.count("*").over(upto).alias("_un"),
+        F.sum(value).over(upto).alias("_uv"),
+    )
+    tied = ordered.select(
+        "*",
+        (F.count("*").over(same) - F.col("_un")).alias("_later_n"),
+        (F.sum(value).over(same) - F.col("_uv")).alias("_later_v"),
+    )
     cols = []
     for h in hours:
         frame = by_time.rangeBetween(-(int(h) * HOUR_MICROS - 1), 0)
-        cols.append((F.count("*").over(frame) - later_n).cast("double").alias(f"count_{h}h"))
-        cols.append((F.sum(value).over(frame) - later_v).alias(f"sum_{h}h"))
-    return df.select("*", *cols)
+        cols.append((F.count("*").over(frame) - F.col("_later_n")).cast("double").alias(f"count_{h}h"))
+        cols.append((F.sum(value).over(frame) - F.col("_later_v")).alias(f"sum_{h}h"))
+    return tied.select(
+        "*", *cols, F.avg(value).over(whole).alias("key_mean"), F.stddev_samp(value).over(whole).alias("key_std")
+    ).drop("_un", "_uv", "_later_n", "_later_v")
+
+
+def chunked_windows(
+    df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int], hot_rows: int
+) -> DataFrame:
+    """The activity windows over range chunks, for keys of any size."""
+    stats = df.groupBy(key).agg(
+        F.avg(value).alias("key_mean"), F.stddev_samp(value).alias("key_std"), F.count("*").alias("_n")
+    )
+    heavy = _prefixed(df, key, ts, tie, value, hours)
+    heavy = running(heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)})
+    return spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n")
 
 
 def _prefixed(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:

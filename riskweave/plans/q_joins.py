@@ -10,8 +10,9 @@ from riskweave.operators.sequences import behaviour_rows, sequences
 from riskweave.plans import parts as P
 from riskweave.plans import sqltext as S
 from riskweave.plans.registry import query
-from riskweave.plans.views import tx
+from riskweave.plans.views import ac, tx
 from riskweave.scorers import behaviour, compliance, explanation, geo, meta, network
+from riskweave.scorers.together import score_together
 
 
 @query(
@@ -61,6 +62,20 @@ def j4(spark, d):
     return P.rounded(P.wide(spark, d), *[f"{a}_score" for a in meta.AGENTS])
 
 
+@query(
+    "j4_five_scores_one_shuffle",
+    """SELECT w.transaction_id, w.is_fraud, round(velocity_score, 6) AS velocity_score, round(geo_risk_score, 6) AS geo_risk_score, round(behaviour_score, 6) AS behaviour_score,
+ round(kyc_aml_score, 6) AS kyc_aml_score, round(graph_score, 6) AS graph_score, vel.reason_code AS velocity_reason_code, geo.reason_code AS geo_risk_reason_code,
+ kyc.reason_code AS kyc_aml_reason_code, CASE WHEN graph_score >= 0.65 THEN 'GRAPH_ANOMALY' ELSE 'NORMAL_GRAPH' END AS graph_reason_code
+ FROM wide w JOIN vel USING (transaction_id) JOIN geo USING (transaction_id) JOIN kyc USING (transaction_id)""",
+    views=("tx", "ac"),
+    ctes=S.WIDE_ALL,
+)
+def j4_together(spark, d):
+    out = score_together(tx(spark, d), ac(spark, d), keep=("is_fraud",))
+    return P.rounded(out, *[f"{a}_score" for a in meta.AGENTS])
+
+
 @query(
     "j5_meta_join",
     """SELECT transaction_id, round((geo_risk_score + kyc_aml_score) / 2, 6) AS meta_risk_score,

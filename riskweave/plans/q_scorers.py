@@ -266,7 +266,7 @@ def me2(spark, d):
 
 @query("me3_holdout_calibration")
 def me3(spark, d):
-    """Fewer than two folds asked for: hold-out with sigmoid calibration."""
+    """One fold asked for: hold-out with sigmoid calibration."""
     table, model = _fitted(spark, d, {"meta_learner_calibration_cv": 1})
     return P.rounded(meta.score(table, model).drop("timestamp"), "risk_score")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.scalars import amount_column, number, number_or, words
+from riskweave.functions.scalars import amount_column, number, words
 from riskweave.operators.alerts import build_alerts, empty_alerts, has_columns
 from riskweave.operators.skew import spread_join
 from riskweave.settings import alert_threshold, resolve
@@ -54,9 +54,11 @@ def corridor_counts(tx: DataFrame, hot_rows: int) -> DataFrame:
     return spread_join(keyed, counts, ["_s", "_c"], "corridor_count", "transaction_id", hot_rows).drop("_s", "_c")
 
 
-def rule_flags(tx: DataFrame, settings: Mapping | None = None) -> DataFrame:
-    """One 0/1 column ``r_<RULE>`` per rule; rules whose columns are missing are 0."""
-    cfg = resolve(settings)
+def flag_columns(tx: DataFrame, cfg: Mapping) -> dict[str, Column]:
+    """0/1 expression per rule; rules whose columns are missing are 0.
+
+    Layering needs ``corridor_count``.
+    """
     flags = {name: F.lit(0) for name in RULES}
     if has_columns(tx, ACCOUNT_COLUMNS):
         flags["PEP"] = number("is_pep", 0).cast("int")
@@ -68,26 +70,42 @@ def rule_flags(tx: DataFrame, settings: Mapping | None = None) -> DataFrame:
     if amount_column(tx) == "amount_npr":
         low, high = cfg["structuring_min_npr"], cfg["structuring_max_npr"]
         flags["STRUCTURING"] = number("amount_npr", 0).between(low, high).cast("int")
+    if has_columns(tx, ("is_cross_border", "corridor_count")):
+        crossing = number("is_cross_border", 0).cast("int") == 1
+        flags["LAYERING"] = (crossing & (F.col("corridor_count") >= 2)).cast("int")
+    return flags
+
+
+def rule_flags(tx: DataFrame, settings: Mapping | None = None) -> DataFrame:
+    """One 0/1 column ``r_<RULE>`` per rule."""
+    cfg = resolve(settings)
     if has_columns(tx, ("is_cross_border", "remittance_corridor", "sender_account_id")):
         tx = corridor_counts(tx, int(cfg["hot_key_rows"]))
-        crossing = number_or(tx, "is_cross_border", 0.0).cast("int") == 1
-        flags["LAYERING"] = (crossing & (F.col("corridor_count") >= 2)).cast("int")
-    return tx.select("*", *[flag.alias(f"r_{name}") for name, flag in flags.items()])
+    return tx.select("*", *[flag.alias(f"r_{name}") for name, flag in flag_columns(tx, cfg).items()])
+
+
+def rule_score(cfg: Mapping) -> Column:
+    """Weighted flags over the largest possible sum."""
+    total = sum((F.col(f"r_{n}") * float(cfg[w]) for n, w in RULES.items()), F.lit(0.0))
+    return total / max(sum(float(cfg[w]) for w in RULES.values()), 1e-9)
+
+
+def broken_rules() -> Column:
+    """Names of the broken rules in rule order."""
+    return F.array_compact(F.array(*[F.when(F.col(f"r_{n}") == 1, n) for n in RULES]))
+
+
+def reason() -> Column:
+    return F.when(F.size(broken_rules()) == 0, "NO_VIOLATIONS").otherwise(F.array_join(broken_rules(), "|"))
 
 
 def score(tx: DataFrame, settings: Mapping | None = None, scored_at: dt.datetime | None = None) -> DataFrame:
-    """Weighted rules over the largest possible sum, with the broken rules named."""
+    """Alert rows with the weighted score and the broken rules named."""
     if not has_columns(tx, ("transaction_id",)):
         return empty_alerts(tx.sparkSession)
-    cfg = resolve(settings)
     flagged = rule_flags(tx, settings)
-    total = sum((F.col(f"r_{n}") * float(cfg[w]) for n, w in RULES.items()), F.lit(0.0))
-    most = max(sum(float(cfg[w]) for w in RULES.values()), 1e-9)
-    named = F.array_compact(F.array(*[F.when(F.col(f"r_{n}") == 1, n) for n in RULES]))
-    clean = F.size(named) == 0
-    reason = F.when(clean, "NO_VIOLATIONS").otherwise(F.array_join(named, "|"))
-    listed = words(F.array_join(named, ", "))
-    text = F.when(clean, "No KYC/AML violations detected.").otherwise(
-        F.concat(F.lit("KYC/AML violations: "), listed, F.lit("."))
+    text = F.when(F.size(broken_rules()) == 0, "No KYC/AML violations detected.").otherwise(
+        F.concat(F.lit("KYC/AML violations: "), words(F.array_join(broken_rules(), ", ")), F.lit("."))
     )
-    return build_alerts(flagged, AGENT, total / most, alert_threshold(AGENT, settings), reason, text, scored_at)
+    threshold = alert_threshold(AGENT, settings)
+    return build_alerts(flagged, AGENT, rule_score(resolve(settings)), threshold, reason(), text, scored_at)

@@ -31,17 +31,16 @@ MATRIX = (
 
 def heuristic_scores(feats: DataFrame) -> DataFrame:
     """(node, node_score, out_degree) from fan ratios, cross-border and fraud share."""
-    top = feats.agg(F.max("fan_out_ratio").alias("_mo"), F.max("fan_in_ratio").alias("_mi"), F.lit(1).alias("_k"))
-    # One row, so the broadcast is bounded.
-    joined = feats.withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k")
+    feats = cut(feats)
+    top = feats.agg(F.max("fan_out_ratio").alias("out"), F.max("fan_in_ratio").alias("in")).first()
     # Weights of the four parts.
     value = (
-        0.3 * clip01(F.col("fan_out_ratio") / (F.col("_mo") + 1e-9))
-        + 0.3 * clip01(F.col("fan_in_ratio") / (F.col("_mi") + 1e-9))
+        0.3 * clip01(F.col("fan_out_ratio") / ((top["out"] or 0.0) + 1e-9))
+        + 0.3 * clip01(F.col("fan_in_ratio") / ((top["in"] or 0.0) + 1e-9))
         + 0.2 * F.col("cross_border_fraction")
         + 0.2 * F.col("fraud_neighbor_fraction")
     )
-    return joined.select("node", clip01(value).alias("node_score"), "out_degree")
+    return feats.select("node", clip01(value).alias("node_score"), "out_degree")
 
 
 def node_matrix(e: DataFrame, settings: Mapping | None = None, max_iter: int = 100) -> DataFrame:

@@ -48,15 +48,19 @@ def features(tx: DataFrame, settings: Mapping | None = None) -> DataFrame:
     rolled = activity_windows(
         timed, "sender", "ts", "transaction_id", "amount", hours, int(cfg["dense_key_rows"]), int(cfg["hot_key_rows"])
     )
+    return rolled.select("transaction_id", *feature_expressions(hours))
+
+
+def feature_expressions(hours) -> list[Column]:
+    """The eleven features from the columns of the activity windows."""
     z = (F.col("amount") - F.nullif(F.col("key_mean"), F.lit(0.0))) / F.nullif(F.col("key_std"), F.lit(0.0))
-    return rolled.select(
-        "transaction_id",
+    return [
         F.col("amount").alias("amount_npr"),
         *[F.col(f"count_{h}h").alias(f"sender_count_{h}h") for h in hours],
         *[F.col(f"sum_{h}h").alias(f"sender_sum_{h}h") for h in hours],
         F.coalesce((F.col("ts") - F.col("previous_ts")) / 1e6, F.lit(86400.0)).alias("seconds_since_sender_txn"),
         F.abs(F.coalesce(z, F.lit(0.0))).alias("amount_zscore"),
-    )
+    ]
 
 
 @dataclass
