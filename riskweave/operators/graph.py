@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import account_column, amount_of, event_micros, number_or, ratio
 from riskweave.operators.skew import spread_join
-from riskweave.runtime import cut
+from riskweave.runtime import cut, partitions
 
 
 def edges(tx: DataFrame) -> DataFrame:
@@ -78,18 +78,34 @@ def distinct_edges(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").distinct()
 
 
-def _salted_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> DataFrame:
-    """Edges with a ``_part`` number; sources with many edges get several parts.
+def _laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> DataFrame:
+    """Edges stored by (src, _part), so that no round shuffles them again.
 
-    The list of such sources has at most edges / rows_per_task entries, so it
-    can be broadcast.
+    Sources with many edges get several parts. The list of such sources has
+    at most edges / rows_per_task entries, so it can be broadcast.
     """
     hubs = degree.filter(F.col("deg") > rows_per_task).select(
         "src", F.ceil(F.col("deg") / F.lit(rows_per_task)).alias("_parts")
     )
     joined = de.join(F.broadcast(hubs), "src", "left")
     part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")), F.lit(0)).cast("int")
-    return joined.select("src", "dst", part.alias("_part"))
+    laid = joined.select("src", "dst", part.alias("_part")).repartition(partitions(de.sparkSession), "src", "_part")
+    return cut(laid.sortWithinPartitions("src", "_part"), keep_layout=True)
+
+
+def _laid_out_nodes(e: DataFrame, degree: DataFrame) -> DataFrame:
+    """(node, deg) of every account, stored by node."""
+    known = nodes(e).join(degree.withColumnRenamed("src", "node"), "node", "left")
+    laid = known.select("node", F.coalesce("deg", F.lit(0)).alias("deg"))
+    return cut(laid.repartition(partitions(e.sparkSession), "node"), keep_layout=True)
+
+
+def _send(state: DataFrame, value: str, rows_per_task: int) -> DataFrame:
+    """One copy of a node's value for each part of its edges."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(rows_per_task))).cast("int")
+    return state.filter(F.col("deg") > 0).select(
+        F.col("node").alias("src"), "deg", value, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")
+    )
 
 
 def pagerank(
@@ -102,42 +118,32 @@ def pagerank(
     """PageRank over distinct directed edges; (node, pagerank).
 
     The mass of nodes without out-edges is spread evenly. Stops when the total
-    change falls below ``nodes * tol``. Only two scalars per round reach the
-    driver; ranks live in shared storage between rounds.
+    change falls below ``nodes * tol``. A round shuffles one value per node and
+    the partly summed contributions, not the edges. Only two scalars per round
+    reach the driver; ranks live in shared storage between rounds.
     """
-    de = distinct_edges(e)
+    de = cut(distinct_edges(e))
     degree = de.groupBy("src").agg(F.count("*").alias("deg"))
-    salted = cut(_salted_edges(de, degree, rows_per_task))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(rows_per_task))).cast("int")
-    base = cut(
-        nodes(e)
-        .join(degree.withColumnRenamed("src", "node"), "node", "left")
-        .select("node", F.coalesce("deg", F.lit(0)).alias("deg"))
-    )
-    n = base.count()
+    laid = _laid_out_edges(de, degree, rows_per_task)
+    base = _laid_out_nodes(e, degree)
+    n, ends = base.agg(F.count("*"), F.count(F.when(F.col("deg") == 0, 1))).first()
     if n == 0:
         return base.select("node", F.lit(0.0).alias("pagerank"))
     ranks = base.select("node", "deg", F.lit(1.0 / n).alias("pagerank"))
-    dangling = ranks.agg(F.sum(F.when(F.col("deg") == 0, F.col("pagerank")))).first()[0] or 0.0
+    dangling = ends / n
     for _ in range(max_iter):
-        senders = ranks.filter(F.col("deg") > 0).select(
-            F.col("node").alias("src"),
-            (F.col("pagerank") / F.col("deg")).alias("share"),
-            F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
-        )
         received = (
-            salted.join(senders, ["src", "_part"])
+            laid.join(_send(ranks, "pagerank", rows_per_task), ["src", "_part"])
             .groupBy(F.col("dst").alias("node"))
-            .agg(F.sum("share").alias("_in"))
+            .agg(F.sum(F.col("pagerank") / F.col("deg")).alias("_in"))
         )
         fresh = alpha * (F.coalesce(F.col("_in"), F.lit(0.0)) + F.lit(dangling / n)) + (1 - alpha) / n
-        ranks = cut(
-            ranks.join(received, "node", "left").select(
-                "node", "deg", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("_moved")
-            )
+        stepped = ranks.join(received.hint("shuffle_merge"), "node", "left").select(
+            "node", "deg", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("_moved")
         )
+        ranks = cut(stepped, keep_layout=True)
         moved, dangling = ranks.agg(
-            F.sum("_moved"), F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("pagerank"))), F.lit(0.0))
+            F.sum("_moved"), F.sum(F.when(F.col("deg") == 0, F.col("pagerank")).otherwise(0.0))
         ).first()
         ranks = ranks.drop("_moved")
         if moved < n * tol:
@@ -256,26 +262,20 @@ def components(e: DataFrame, rows_per_task: int = 5_000_000, max_iter: int = 100
     )
     de = cut(e.filter(F.col("src") != F.col("dst")).select(F.inline(both)).distinct())
     degree = de.groupBy("src").agg(F.count("*").alias("deg"))
-    salted = cut(_salted_edges(de, degree, rows_per_task))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("deg") / F.lit(rows_per_task))).cast("int")
-    labels = cut(
-        nodes(e)
-        .join(degree.withColumnRenamed("src", "node"), "node", "left")
-        .select("node", F.coalesce("deg", F.lit(0)).alias("deg"), F.col("node").alias("component"))
-    )
+    laid = _laid_out_edges(de, degree, rows_per_task)
+    labels = _laid_out_nodes(e, degree).select("node", "deg", F.col("node").alias("component"))
     for _ in range(max_iter):
-        senders = labels.filter(F.col("deg") > 0).select(
-            F.col("node").alias("src"), "component", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")
-        )
         least = (
-            salted.join(senders, ["src", "_part"])
+            laid.join(_send(labels, "component", rows_per_task), ["src", "_part"])
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("component").alias("_seen"))
         )
-        stepped = labels.join(least, "node", "left").select(
-            "node", "deg", F.col("component").alias("_old"), F.least("component", "_seen").alias("component")
+        stepped = cut(
+            labels.join(least.hint("shuffle_merge"), "node", "left").select(
+                "node", "deg", F.col("component").alias("_old"), F.least("component", "_seen").alias("component")
+            ),
+            keep_layout=True,
         )
-        stepped = cut(stepped)
         # Label of the label; a giant component points at one node, so spread it.
         sizes = stepped.groupBy("component").agg(F.count("*").alias("_rows"))
         heads = sizes.join(
@@ -284,8 +284,9 @@ def components(e: DataFrame, rows_per_task: int = 5_000_000, max_iter: int = 100
         jumped = spread_join(stepped, heads, ["component"], "_rows", "node", rows_per_task).select(
             "node", "deg", "_old", F.least("component", "_next").alias("component")
         )
-        labels = cut(jumped)
-        if labels.filter(F.col("_old") != F.col("component")).isEmpty():
-            break
+        labels = cut(jumped.repartition(partitions(e.sparkSession), "node"), keep_layout=True)
+        done = labels.filter(F.col("_old") != F.col("component")).isEmpty()
         labels = labels.drop("_old")
+        if done:
+            break
     return labels.select("node", "component")

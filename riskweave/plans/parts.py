@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import clip01
-from riskweave.operators import alerts as A
 from riskweave.plans.views import ac, tx
 from riskweave.runtime import cut
 from riskweave.scorers import behaviour, compliance, geo, network, velocity
+from riskweave.scorers.meta import AGENTS
+from riskweave.scorers.together import score_together
 
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +31,8 @@ def rule_alerts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
     """Five score columns per transaction, with label and pattern."""
-    base = tx(spark, d).select("transaction_id", "is_fraud", "fraud_type")
-    return A.join_scores(base, rule_alerts(spark, d))
+    out = score_together(tx(spark, d), ac(spark, d), keep=("is_fraud", "fraud_type"))
+    return out.select("transaction_id", "is_fraud", "fraud_type", *[f"{a}_score" for a in AGENTS])
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:

@@ -59,7 +59,8 @@ _WIDE_ROUNDED = "SELECT transaction_id, is_fraud, fraud_type, round(velocity_sco
 
 @query("j4_five_scores", _WIDE_ROUNDED, views=("tx", "ac"), ctes=S.WIDE_ALL)
 def j4(spark, d):
-    return P.rounded(P.wide(spark, d), *[f"{a}_score" for a in meta.AGENTS])
+    base = tx(spark, d).select("transaction_id", "is_fraud", "fraud_type")
+    return P.rounded(A.join_scores(base, P.rule_alerts(spark, d)), *[f"{a}_score" for a in meta.AGENTS])
 
 
 @query(

@@ -48,10 +48,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/riskweave-{uuid.uuid4().hex}/{label}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in shared storage and drop its lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Materialise ``df`` in shared storage and drop its lineage.
+
+    With ``keep_layout`` the result keeps the partitioning and order of its
+    last step, so later joins on those keys need no shuffle. Spark knows that
+    layout only for a plan it does not change while it runs.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    if not keep_layout:
+        return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def partitions(spark: SparkSession) -> int:

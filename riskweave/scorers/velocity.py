@@ -182,16 +182,25 @@ def fit(feats: DataFrame, settings: Mapping | None = None) -> IsolationForest |
     n = feats.count()
     if n < 2:
         return None
-    want = trees * SAMPLE_ROWS
-    key = F.xxhash64("transaction_id", F.lit(seed))
-    pool = feats
-    if n > 4 * want:
-        # About four times the pool passes, so few rows reach the exact top-k.
-        buckets = 1_000_000_000
-        pool = feats.filter(F.pmod(key, F.lit(buckets)) < int(buckets * 4 * want / n) + 1)
-    pool = pool.select("transaction_id", *columns).orderBy(key, "transaction_id").limit(want)
-    drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    pick = Window.partitionBy("tree").orderBy(F.xxhash64("transaction_id", "tree", F.lit(seed)), "transaction_id")
+    # A pool of about four times the rows the trees need, then for each tree
+    # about twice its rows, then exactly its rows: all by hash thresholds and
+    # a small ranking, never by sorting the table.
+    pool_rows = min(n, 4 * trees * SAMPLE_ROWS)
+    scale = 1_000_000_000
+    pool = feats.select("transaction_id", *columns)
+    if pool_rows < n:
+        chosen = F.pmod(F.xxhash64("transaction_id", F.lit(seed)), F.lit(scale))
+        pool = pool.filter(chosen < int(scale * pool_rows / n) + 1)
+    near = int(scale * min(1.0, 2.0 * SAMPLE_ROWS / pool_rows)) + 1
+
+    def draw(tree: Column) -> Column:
+        return F.xxhash64("transaction_id", tree, F.lit(seed))
+
+    member = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(draw(t), F.lit(scale)) < near
+    )
+    drawn = pool.select("*", F.explode(member).alias("tree"))
+    pick = Window.partitionBy("tree").orderBy(F.pmod(draw(F.col("tree")), F.lit(scale)), "transaction_id")
     sampled = drawn.withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= SAMPLE_ROWS).drop("_r")
     nodes = sampled.groupBy("tree").applyInPandas(_tree_builder(columns, seed), _NODE_SCHEMA).toPandas()
     sample = min(n, SAMPLE_ROWS)
