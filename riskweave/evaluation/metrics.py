@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import clip01, number, ratio
 from riskweave.operators.ranking import global_rank, running
+from riskweave.runtime import cut
 
 
 def _label(df: DataFrame, label: str) -> Column:
@@ -47,7 +48,7 @@ def curve(df: DataFrame, score_columns: Mapping[str, str], label: str = "is_frau
     """Cells with running true and false positives (score at or above) and the
     scorer's totals.
     """
-    cells = score_cells(df, score_columns, label)
+    cells = cut(score_cells(df, score_columns, label))
     run = running(cells, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, group=["agent_name"])
     # One row per scorer.
     totals = cells.groupBy("agent_name").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))

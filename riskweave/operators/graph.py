@@ -151,19 +151,28 @@ def pagerank(
     return ranks.select("node", "pagerank")
 
 
-def neighbour_means(e: DataFrame, features: DataFrame, cols: list[str], rows_per_task: int, weight: str | None = None):
-    """Mean of each feature over a node's in-edges, 0 for a node without any.
+def pair_weights(e: DataFrame, weight: str | None = None) -> DataFrame:
+    """(src, dst, weight): payments, or the sum of ``weight``, per ordered pair.
 
-    With ``weight`` (an edge column) the mean is weighted by it.
+    Repeated payments collapse here, before any feature is joined to them.
+    """
+    total = F.count("*").cast("double") if weight is None else F.sum(weight)
+    return e.groupBy("src", "dst").agg(total.alias("weight"))
+
+
+def neighbour_means(pairs: DataFrame, features: DataFrame, cols: list[str], rows_per_task: int) -> DataFrame:
+    """Weighted mean of each feature over a node's in-edges, 0 for a node without any.
+
+    ``pairs`` come from pair_weights; payment counts as weights give the mean
+    over all in-edges.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight)
     source = features.select(F.col("node").alias("src"), *cols, F.col("out_degree").alias("_rows"))
-    per_edge = spread_join(
-        e.select("transaction_id", "src", "dst", w.alias("_w")), source, ["src"], "_rows", "transaction_id",
-        rows_per_task, "inner",
-    )
-    means = per_edge.groupBy(F.col("dst").alias("node")).agg(
-        *[ratio(F.sum(F.col(c) * F.col("_w")), F.nullif(F.sum("_w"), F.lit(0.0))).alias(f"nbr_{c}") for c in cols]
+    joined = spread_join(pairs, source, ["src"], "_rows", "dst", rows_per_task, "inner")
+    means = joined.groupBy(F.col("dst").alias("node")).agg(
+        *[
+            ratio(F.sum(F.col(c) * F.col("weight")), F.nullif(F.sum("weight"), F.lit(0.0))).alias(f"nbr_{c}")
+            for c in cols
+        ]
     )
     return features.join(means, "node", "left").fillna(0.0, [f"nbr_{c}" for c in cols])
 

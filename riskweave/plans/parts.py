@@ -23,7 +23,7 @@ def rule_alerts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "velocity": velocity.score(t, None),
         "geo_risk": geo.score(t),
-        "behaviour": behaviour.score_heuristic(t, behaviour.fit_stats(t)),
+        "behaviour": behaviour.score_heuristic(t, behaviour.amount_stats(t)),
         "kyc_aml": compliance.score(joined(spark, d)),
         "graph": network.score(t),
     }
@@ -38,7 +38,7 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Three score columns: one with many ties, one continuous, their mean."""
     t = tx(spark, d)
-    stats = behaviour.fit_stats(t)
+    stats = behaviour.amount_stats(t)
     geo_part = geo.features(t, tuple(t.columns))
     scored = geo_part.select(
         "transaction_id", "is_fraud", "fraud_type",

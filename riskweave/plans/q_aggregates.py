@@ -88,7 +88,7 @@ def a4(spark, d):
 )
 def a5(spark, d):
     t = tx(spark, d)
-    out = A.describe_scores(behaviour.score_heuristic(t, behaviour.fit_stats(t)))
+    out = A.describe_scores(behaviour.score(t, None))
     return P.rounded(out, "mean", "std", "min", "max", "p25", "p50", "p75")
 
 

@@ -150,8 +150,9 @@ _HOP_SELECT = "SELECT h1.node, " + ", ".join(
 def _hops(spark, d, weight):
     e = _edges(spark, d)
     rows = DEFAULTS["hot_key_rows"]
-    one = cut(G.neighbour_means(e, G.node_features(e), list(_HOP_COLS), rows, weight))
-    two = G.neighbour_means(e, one, [f"nbr_{c}" for c in _HOP_COLS], rows, weight)
+    pairs = cut(G.pair_weights(e, weight))
+    one = cut(G.neighbour_means(pairs, G.node_features(e), list(_HOP_COLS), rows))
+    two = G.neighbour_means(pairs, one, [f"nbr_{c}" for c in _HOP_COLS], rows)
     cols = [f"{p}{c}" for c in _HOP_COLS for p in ("nbr_", "nbr_nbr_")]
     return P.rounded(two.select("node", *cols), *cols)
 

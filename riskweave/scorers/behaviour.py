@@ -25,12 +25,17 @@ UNIT_STATS = {"amount_mean": 0.0, "amount_std": 1.0, "time_mean": 0.0, "time_std
 def fit_stats(tx: DataFrame, settings: Mapping | None = None) -> dict[str, float]:
     """Mean and deviation of amount and time delta."""
     if account_column(tx, "sender") is None:
-        row = tx.agg(F.avg(amount_of(tx)), F.stddev_samp(amount_of(tx))).first()
-        return {**UNIT_STATS, "amount_mean": row[0] or 0.0, "amount_std": row[1] or 1.0}
+        return amount_stats(tx)
     rows = behaviour_rows(tx)
     return normalisation(rows, int(resolve(settings)["hot_key_rows"])).first().asDict()
 
 
+def amount_stats(tx: DataFrame) -> dict[str, float]:
+    """Mean and deviation of the amount only, all the heuristic needs; no shuffle."""
+    row = tx.agg(F.avg(amount_of(tx)), F.stddev_samp(amount_of(tx))).first()
+    return {**UNIT_STATS, "amount_mean": row[0] or 0.0, "amount_std": row[1] or 1.0}
+
+
 def heuristic(tx: DataFrame, stats: Mapping[str, float]) -> Column:
     """Logistic of half the absolute amount z-score; 0 without an amount column."""
     if amount_column(tx) is None:
@@ -148,7 +153,7 @@ def score(
     if not has_columns(tx, ("transaction_id",)):
         return empty_alerts(tx.sparkSession)
     if model is None or account_column(tx, "sender") is None:
-        return score_heuristic(tx, stats or fit_stats(tx, settings), settings, scored_at)
+        return score_heuristic(tx, stats or amount_stats(tx), settings, scored_at)
     threshold = alert_threshold(AGENT, settings)
     mapped = spread_back(tx, sequence_scores(tx, model))
     kind = str(resolve(settings)["behaviour_model_type"]).upper()

@@ -58,9 +58,9 @@ def hop_features(e: DataFrame, matrix: DataFrame, settings: Mapping | None = Non
     """
     rows = int(resolve(settings)["hot_key_rows"])
     cols = list(MATRIX)
-    one = cut(G.neighbour_means(e, matrix, cols, rows, weight))
-    first = [f"nbr_{c}" for c in cols]
-    return G.neighbour_means(e, one, first, rows, weight)
+    pairs = cut(G.pair_weights(e, weight))
+    one = cut(G.neighbour_means(pairs, matrix, cols, rows))
+    return G.neighbour_means(pairs, one, [f"nbr_{c}" for c in cols], rows)
 
 
 @dataclass

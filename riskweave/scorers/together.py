@@ -39,7 +39,7 @@ def score_together(
     """
     cfg = resolve(settings)
     hours, hot = cfg["velocity_windows_hours"], int(cfg["hot_key_rows"])
-    stats = behaviour_stats or behaviour.fit_stats(tx, settings)
+    stats = behaviour_stats or behaviour.amount_stats(tx)
     if node_scores is None:
         node_scores = network.heuristic_scores(G.node_features(G.edges(tx)))
     mean_node = node_scores.agg(F.avg("node_score")).first()[0] or 0.0

@@ -54,9 +54,9 @@ DEFAULTS.update(
         "meta_learner_max_depth": None,
         "meta_learner_default_max_depth": 10,
         "behaviour_max_iter": 60,
-        # Keys with more rows than this leave the sliding range frames (whose
-        # cost grows with the frame) for the chunked prefix sums.
-        "dense_key_rows": 20_000,
+        # Keys with more rows than this leave the sliding range frames, whose
+        # cost per row grows with the frame, for the linear prefix sums.
+        "dense_key_rows": 4_000,
         # Keys with more rows than this are split over several tasks in
         # joins and lag windows.
         "hot_key_rows": 5_000_000,

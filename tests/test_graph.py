@@ -114,7 +114,7 @@ def test_chains(edges, raw, dense_rows):
 def test_neighbour_means(edges, raw, rows_per_task):
     feats = G.node_features(edges)
     deg = {n: sum(1 for r in raw if r[1] == n) for r in raw for n in r[1:3]}
-    out = G.neighbour_means(edges, feats, ["out_degree"], rows_per_task).collect()
+    out = G.neighbour_means(G.pair_weights(edges), feats, ["out_degree"], rows_per_task).collect()
     for row in out:
         inn = [deg[r[1]] for r in raw if r[2] == row["node"]]
         assert row["nbr_out_degree"] == pytest.approx(sum(inn) / len(inn) if inn else 0.0)
