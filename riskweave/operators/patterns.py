@@ -28,25 +28,21 @@ def payment_chains(e: DataFrame, hours: int, dense_rows: int) -> DataFrame:
     stream = base.select("transaction_id", "ts", F.inline(ends)).select(
         "*",
         F.concat_ws(":", "transaction_id", "side").alias("tie"),
-        (-F.col("ts")).alias("rev"),
         F.concat_ws("|", "acct", "other").alias("pair"),
     )
-    arrival = (F.col("side") == "in").cast("bigint")
-    departure = (F.col("side") == "out").cast("bigint")
-
-    before = window_counts(stream, "acct", "ts", "tie", {"n_in": arrival}, span, dense_rows)
-    before = window_counts(before, "pair", "ts", "tie", {"n_in_same": arrival}, span, dense_rows)
-    upstream = before.filter(F.col("side") == "out").select(
-        "transaction_id", (F.col("n_in") - F.col("n_in_same")).alias("upstream")
+    arrival, departure = F.col("side") == "in", F.col("side") == "out"
+    before, after = (-span, -1), (1, span)
+    counts = window_counts(
+        stream, "acct", "ts", "tie", {"n_in": (arrival, *before), "n_out": (departure, *after)}, dense_rows
     )
-    after = window_counts(stream, "acct", "rev", "tie", {"n_out": departure}, span, dense_rows)
-    after = window_counts(after, "pair", "rev", "tie", {"n_out_same": departure}, span, dense_rows)
-    downstream = after.filter(F.col("side") == "in").select(
-        "transaction_id", (F.col("n_out") - F.col("n_out_same")).alias("downstream")
+    counts = window_counts(
+        counts, "pair", "ts", "tie", {"same_in": (arrival, *before), "same_out": (departure, *after)}, dense_rows
     )
-    return (
-        base.select("transaction_id", "src", "dst")
-        .join(upstream, "transaction_id")
-        .join(downstream, "transaction_id")
-        .select("*", (F.col("upstream") * F.col("downstream")).alias("chains"))
+    one = lambda side, c: F.max(F.when(F.col("side") == side, c))
+    chained = counts.groupBy("transaction_id").agg(
+        one("out", F.col("acct")).alias("src"),
+        one("out", F.col("other")).alias("dst"),
+        one("out", F.col("n_in") - F.col("same_in")).alias("upstream"),
+        one("in", F.col("n_out") - F.col("same_out")).alias("downstream"),
     )
+    return chained.select("*", (F.col("upstream") * F.col("downstream")).alias("chains"))

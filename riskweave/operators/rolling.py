@@ -134,30 +134,40 @@ def with_previous_time(df: DataFrame, key: str, ts: str, tie: str, name: str, ho
 
 
 def window_counts(
-    df: DataFrame, key: str, ts: str, tie: str, counted: dict[str, Column], micros: int, dense_rows: int
+    df: DataFrame, key: str, ts: str, tie: str, counted: dict[str, tuple[Column, int, int]], dense_rows: int
 ) -> DataFrame:
-    """Add, per name, the sum of ``counted`` over the key's rows in [t - micros, t).
+    """Add, per name, the sum of a 0/1 column over the key's rows in [t + low, t + high].
 
-    The current time is left out: only strictly earlier rows count.
+    ``counted`` maps a name to (column, low, high), in microseconds. All frames
+    of a key share one shuffle.
     """
-    flagged = df.select("*", *[c.cast("bigint").alias(f"_c_{n}") for n, c in counted.items()])
+    flagged = df.select("*", *[c.cast("bigint").alias(f"_c_{n}") for n, (c, _, _) in counted.items()])
     ordinary, dense = split_heavy(flagged, key, dense_rows)
-    frame = Window.partitionBy(key).orderBy(ts).rangeBetween(-micros, -1)
+    by_time = Window.partitionBy(key).orderBy(ts)
     out = ordinary.select(
-        *df.columns, *[F.coalesce(F.sum(f"_c_{n}").over(frame), F.lit(0)).alias(n) for n in counted]
+        *df.columns,
+        *[
+            F.coalesce(F.sum(f"_c_{n}").over(by_time.rangeBetween(low, high)), F.lit(0)).alias(n)
+            for n, (_, low, high) in counted.items()
+        ],
     )
     if dense is None:
         return out
-    # Running totals just before t - micros and just before t.
+    # A frame is the running total just before t + high + 1 less the one just
+    # before t + low. Marks come before the rows of their own time.
+    shifts = sorted({x for _, low, high in counted.values() for x in (low, high + 1)})
+    number = {x: i + 1 for i, x in enumerate(shifts)}
     marks = F.array(
-        F.struct(F.lit(2).alias("k"), F.col(ts).alias("at")),
-        F.struct(F.lit(0).alias("k"), (F.col(ts) - micros).alias("at")),
-        F.struct(F.lit(1).alias("k"), F.col(ts).alias("at")),
+        F.struct(F.lit(0).alias("k"), F.col(ts).alias("at")),
+        *[F.struct(F.lit(k).alias("k"), (F.col(ts) + x).alias("at")) for x, k in number.items()],
     )
     points = dense.select(key, tie, *[f"_c_{n}" for n in counted], F.explode(marks).alias("m"))
-    sums = {n: F.when(F.col("m.k") == 2, F.col(f"_c_{n}")).otherwise(0) for n in counted}
-    totals = running(points, [F.col("m.at"), F.col("m.k"), F.col(tie)], sums, group=[key])
-    at = lambda c, k: F.max(F.when(F.col("m.k") == k, F.col(c)))
-    windows = totals.groupBy(tie).agg(*[(at(n, 1) - at(n, 0)).alias(n) for n in counted])
+    is_row = F.col("m.k") == 0
+    sums = {n: F.when(is_row, F.col(f"_c_{n}")).otherwise(0) for n in counted}
+    order = [F.col("m.at"), is_row.cast("int"), F.col(tie), F.col("m.k")]
+    totals = running(points, order, sums, group=[key])
+    at = lambda c, x: F.max(F.when(F.col("m.k") == number[x], F.col(c)))
+    windows = totals.groupBy(tie).agg(
+        *[(at(n, high + 1) - at(n, low)).alias(n) for n, (_, low, high) in counted.items()]
+    )
     return out.unionByName(dense.select(*df.columns).join(windows, tie))
-

@@ -54,3 +54,16 @@ def test_partitioned_scores(spark, tmp_path):
     files.write_scores(both, f"{tmp_path}/scores")
     back = files.read_scores(spark, f"{tmp_path}/scores").filter("agent_name = 'y'")
     assert back.count() == 2 and back.agg(F.min("risk_score")).first()[0] == 0.9
+
+
+def test_row_scorers_run_on_a_file_stream(spark, sf_dir, tmp_path):
+    from riskweave.operators.contracts import with_violations
+    from riskweave.scorers import geo
+
+    path = f"{tmp_path}/stream"
+    tx(spark, sf_dir).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    scored = geo.score(with_violations(stream, "transactions"))
+    run = scored.writeStream.format("memory").queryName("scored_stream").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert spark.table("scored_stream").count() == 1000

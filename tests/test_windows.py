@@ -78,15 +78,16 @@ def test_previous_time(spark, skewed, limit):
 
 
 @pytest.mark.parametrize("limit", [10_000, 30])
-def test_counts_strictly_before(spark, skewed, limit):
+def test_counts_before_and_after(spark, skewed, limit):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(skewed, "key string, ts bigint, tie string, v double")
-    out = R.window_counts(df, "key", "ts", "tie", {"big": F.col("v") > 1000}, 24 * HOUR, limit).collect()
+    out = R.window_counts(df, "key", "ts", "tie", {"big": (F.col("v") > 1000, -24 * HOUR, -1), "next": (F.col("v") > 0, 1, HOUR)}, limit).collect()
     assert len(out) == len(skewed)
     for r in out:
         want = sum(1 for k, ts, _, v in skewed if k == r["key"] and r["ts"] - 24 * HOUR <= ts < r["ts"] and v > 1000)
         assert r["big"] == want
+        assert r["next"] == sum(1 for k, ts, _, v in skewed if k == r["key"] and r["ts"] < ts <= r["ts"] + HOUR)
 
 
 def test_missing_times_take_the_position(spark):
