@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,34 +77,42 @@ def rules(table: str) -> dict[str, Column]:
     return out
 
 
-def with_violations(df: DataFrame, table: str, trim: bool = True) -> DataFrame:
-    """Add ``violations``: the names of the rules a row breaks.
+def _checkable(df: DataFrame, table: str, trim: bool = True) -> DataFrame:
+    """Trimmed table in which every column the rules read exists.
 
     A required column the table lacks counts as null in every row.
     """
     df = trim_text(df) if trim else df
     needed = set(REQUIRED[table]) | ({"fraud_type", "remittance_corridor"} if table == "transactions" else set())
-    for name in sorted(needed - set(df.columns)):
-        df = df.withColumn(name, F.lit(None).cast("string"))
-    broken = [F.when(F.coalesce(p, F.lit(False)), F.lit(n)) for n, p in rules(table).items()]
-    return df.withColumn("violations", F.array_compact(F.array(*broken)))
+    missing = sorted(needed - set(df.columns))
+    return df.select("*", *[F.lit(None).cast("string").alias(c) for c in missing]) if missing else df
+
+
+def _broken_names(table: str) -> Column:
+    return F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in rules(table).items()]))
+
+
+def with_violations(df: DataFrame, table: str, trim: bool = True) -> DataFrame:
+    """Add ``violations``: the names of the rules a row breaks."""
+    return _checkable(df, table, trim).select("*", _broken_names(table).alias("violations"))
 
 
 def split_valid(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows with their violations)."""
-    checked = with_violations(df, table)
-    empty = F.size("violations") == 0
-    return checked.filter(empty).drop("violations"), checked.filter(~empty)
+    """(valid rows, quarantined rows with their violations).
+
+    Rows are told apart by the rules themselves; names are listed only for
+    the broken ones.
+    """
+    rows = _checkable(df, table)
+    broken = reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in rules(table).values()])
+    return rows.filter(~broken), rows.filter(broken).select("*", _broken_names(table).alias("violations"))
 
 
 def rule_report(df: DataFrame, table: str, prefix: str = "") -> DataFrame:
-    """Violating row count of every rule whose name starts with ``prefix``."""
-    checked = with_violations(df, table)
-    names = [n for n in rules(table) if n.startswith(prefix)]
-    counts = checked.agg(
-        *[F.count(F.when(F.array_contains("violations", n), 1)).alias(f"r{i}") for i, n in enumerate(names)]
-    )
-    items = [F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, n in enumerate(names)]
+    """Violating row count of every rule whose name starts with ``prefix``; one pass."""
+    picked = {n: p for n, p in rules(table).items() if n.startswith(prefix)}
+    counts = _checkable(df, table).agg(*[F.count_if(p).alias(f"r{i}") for i, p in enumerate(picked.values())])
+    items = [F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("violations")) for i, n in enumerate(picked)]
     return counts.select(F.inline(F.array(*items)))
 
 
