@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import mixing, token_files
+from riskweave.llm import mixing, pieces, token_files
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,4 @@ def _documents(name: str, digest: Callable[[DataFrame], DataFrame], oracle: str
 
 _documents("op4_source_mix", mixing.digest, mixing.ORACLE)
 _documents("op8_token_files", token_files.digest)
+_documents("op9_piece_dropout", pieces.digest)
