@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import account_column, amount_of, event_micros, number_or, ratio
 from riskweave.operators.skew import spread_join
-from riskweave.runtime import cut, partitions
+from riskweave.runtime import cut, materialise, partitions
 
 
 def edges(tx: DataFrame) -> DataFrame:
@@ -258,44 +258,56 @@ def triangle_counts(e: DataFrame) -> DataFrame:
     return nodes(e).join(counted, "node", "left").fillna(0, ["triangles"])
 
 
-def components(e: DataFrame, rows_per_task: int = 5_000_000, max_iter: int = 100) -> DataFrame:
-    """Connected components (undirected); (node, component = least id in it).
+def _least_neighbour(pairs: DataFrame) -> DataFrame:
+    """Add ``m``, the least ``v`` of each ``u``. Partial minima meet first, and the join back may split a hub."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(least.hint("merge"), "u")
 
-    Each round takes the least label among the neighbours and then the label
-    of that label, so labels travel exponentially far. Stops when no label
-    moves.
-    """
-    both = F.array(
-        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
+
+def _large_star(pairs: DataFrame) -> DataFrame:
+    """Hang every larger neighbour of a node on the least node around it."""
+    both = pairs.select(
+        F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     )
-    de = cut(e.filter(F.col("src") != F.col("dst")).select(F.inline(both)).distinct())
-    degree = de.groupBy("src").agg(F.count("*").alias("deg"))
-    laid = _laid_out_edges(de, degree, rows_per_task)
-    labels = _laid_out_nodes(e, degree).select("node", "deg", F.col("node").alias("component"))
-    for _ in range(max_iter):
-        least = (
-            laid.join(_send(labels, "component", rows_per_task), ["src", "_part"])
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("component").alias("_seen"))
-        )
-        stepped = cut(
-            labels.join(least.hint("shuffle_merge"), "node", "left").select(
-                "node", "deg", F.col("component").alias("_old"), F.least("component", "_seen").alias("component")
-            ),
-            keep_layout=True,
-        )
-        # Label of the label; a giant component points at one node, so spread it.
-        sizes = stepped.groupBy("component").agg(F.count("*").alias("_rows"))
-        heads = sizes.join(
-            stepped.select(F.col("node").alias("component"), F.col("component").alias("_next")), "component"
-        )
-        jumped = spread_join(stepped, heads, ["component"], "_rows", "node", rows_per_task).select(
-            "node", "deg", "_old", F.least("component", "_next").alias("component")
-        )
-        labels = cut(jumped.repartition(partitions(e.sparkSession), "node"), keep_layout=True)
-        done = labels.filter(F.col("_old") != F.col("component")).isEmpty()
-        labels = labels.drop("_old")
-        if done:
+    around = _least_neighbour(both).withColumn("m", F.least("m", "u"))
+    return around.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(pairs: DataFrame) -> DataFrame:
+    """Hang a node and its smaller neighbours on the least of them; pairs have u > v."""
+    around = _least_neighbour(pairs)
+    moved = around.select(
+        F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+    )
+    return moved.filter("u > v").distinct()
+
+
+def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """Connected components of undirected links; (node, component = least id in it).
+
+    Large-star and small-star steps in turn: each keeps the components and
+    turns paths of any length into stars on their least node within a few
+    rounds (their number grows with the logarithm of the longest path). Stops
+    when a round changes nothing; there is no cap. Links live in shared storage
+    between rounds, and one checksum a round reaches the driver.
+    """
+    pairs = links.filter(F.col(a) != F.col(b)).select(
+        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
+    ).distinct()
+    pairs, before = materialise(pairs, "links"), None
+    while True:
+        mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == before:
             break
-    return labels.select("node", "component")
+        before = mark
+        pairs = materialise(_small_star(_large_star(pairs)), "links")
+    heads = pairs.select(F.col("v").alias("node")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        heads.select("node", F.col("node").alias("component"))
+    )
+
+
+def components(e: DataFrame) -> DataFrame:
+    """Connected components (undirected) of all accounts; (node, component = least id in it)."""
+    known = connected(e)
+    return nodes(e).join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -67,5 +67,12 @@ def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back; its lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
