@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import minhash, mixing, pieces, token_files
+from riskweave.llm import minhash, mixing, pieces, suffix_dedup, token_files
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,7 @@ def _documents(name: str, digest: Callable[[DataFrame], DataFrame], oracle: str
         ORACLES[name] = oracle
 
 
+_documents("op1_suffix_dedup", suffix_dedup.digest)
 _documents("op3_near_duplicates", minhash.digest, minhash.ORACLE)
 _documents("op4_source_mix", mixing.digest, mixing.ORACLE)
 _documents("op8_token_files", token_files.digest)
