@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import minhash, mixing, pieces, quality, suffix_dedup, token_files
+from riskweave.llm import minhash, mixing, pieces, pii, quality, suffix_dedup, token_files
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,7 @@ def _documents(name: str, digest: Callable[[DataFrame], DataFrame], oracle: str
 _documents("op1_suffix_dedup", suffix_dedup.digest)
 _documents("op3_near_duplicates", minhash.digest, minhash.ORACLE)
 _documents("op4_source_mix", mixing.digest, mixing.ORACLE)
+_documents("op5_pii_spans", pii.digest)
 QUERIES["op6_ngram_quality"] = lambda spark, sf_dir: quality.digest(
     table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
 )
