@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import minhash, mixing, pieces, pii, quality, suffix_dedup, token_files
+from riskweave.llm import minhash, mixing, pieces, pii, quality, suffix_dedup, token_files, topk
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,5 +27,7 @@ _documents("op5_pii_spans", pii.digest)
 QUERIES["op6_ngram_quality"] = lambda spark, sf_dir: quality.digest(
     table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
 )
+QUERIES["op7_exact_top_k"] = lambda spark, sf_dir: topk.digest(table(spark, sf_dir, "embeddings"))
+ORACLES["op7_exact_top_k"] = topk.ORACLE
 _documents("op8_token_files", token_files.digest)
 _documents("op9_piece_dropout", pieces.digest)
