@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import minhash, mixing, pieces, pii, quality, suffix_dedup, token_files, topk
+from riskweave.llm import minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,4 @@ QUERIES["op7_exact_top_k"] = lambda spark, sf_dir: topk.digest(table(spark, sf_d
 ORACLES["op7_exact_top_k"] = topk.ORACLE
 _documents("op8_token_files", token_files.digest)
 _documents("op9_piece_dropout", pieces.digest)
+_documents("op10_kneser_ney", ngram_lm.digest)
