@@ -16,11 +16,11 @@ class _Numbered(dict):
 class Memo:
     """Ids of words, worked out once for each (word, variant) and then looked up.
 
-    ``encode`` gets the (word, variant) pairs that are new and returns their id
-    lists. At ``limit`` words the memory starts afresh, so it stays bounded.
+    ``encode`` gets the words and variants that are new and returns their ids end
+    to end with the ids per word. At ``limit`` words the memory starts afresh, so it stays bounded.
     """
 
-    def __init__(self, encode: Callable[[Sequence[tuple]], Sequence[Sequence[int]]], variants: int = 1, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]], variants: int = 1, limit: int = 600_000):
         self.encode, self.variants, self.limit = encode, variants, limit
         self._reset()
 
@@ -43,11 +43,10 @@ class Memo:
         v = self.variants
         if len(self.words) < len(self.numbers):
             self.words.extend(list(self.numbers)[len(self.words) :])
-        lists = self.encode([(self.words[k // v], k % v) for k in keys.tolist()])
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        new, total = len(lists), int(lengths.sum())
+        flat, lengths = self.encode([self.words[k] for k in (keys // v).tolist()], keys % v)
+        new, total = len(lengths), len(flat)
         self.flat = self._room(self.flat, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.int32, total)
+        self.flat[self.used : self.used + total] = flat
         self.start = self._room(self.start, self.filled + new)
         self.length = self._room(self.length, self.filled + new)
         self.start[self.filled : self.filled + new] = self.used + np.cumsum(lengths) - lengths

@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import mix, slices, text_bytes, whole_text
 from riskweave.llm.memo import Memo
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 8
+DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 _MARK = "▁"
 _LONG = 96
-_NEVER = 1 << 60
+_NEVER = (1 << 31) - 1
 _M64 = (1 << 64) - 1
 
 
@@ -72,17 +73,37 @@ class Segmenter:
         self.text_length = np.array([len(t) for t in texts], dtype=np.int64)
         self.text_start = np.cumsum(self.text_length) - self.text_length
         self.text_flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        # The same vocabulary as arrays: piece of every code point, and of every pair of pieces that is a piece.
+        # Characters without a piece are negative, below the -1 that fills rows, and never merge.
+        self.of_char = -2 - np.arange(0x110000, dtype=np.int32)
+        for name, i in self.id.items():
+            if len(name) == 1:
+                self.of_char[ord(name)] = i
+        self.mark = self.id.get(_MARK, -2 - ord(_MARK))
+        self.of_char[ord(" ")], self.of_char[ord(_MARK)] = self.mark, -2 - ord(_MARK)
+        pairs = {}
+        for name, i in self.id.items():
+            for cut in range(1, len(name)):
+                a, b = self.id.get(name[:cut]), self.id.get(name[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = i
+        self.pair = np.array(sorted(pairs), dtype=np.int64)
+        self.pair_id = np.array([pairs[k] for k in self.pair.tolist()], dtype=np.int32)
+        self.pair_rank = np.array([self.rank[names[i]] for i in self.pair_id.tolist()], dtype=np.int32)
 
     def _skips(self, key: int, at: int, rank: int) -> bool:
         x = (key ^ (at * 0x9E3779B97F4A7C15) ^ (rank * 0xC2B2AE3D27D4EB4F)) & _M64
         x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _M64
         return (x >> 32) < self.below
 
+    def _key(self, word: str, variant: int) -> int:
+        return zlib.crc32(word.encode(), self.seed & 0xFFFFFFFF) * 0x100000001 ^ (variant * 0xD6E8FEB86659FD93) & _M64
+
     def split(self, word: str, variant: int) -> list[str]:
         """Pieces of one word as text, space marks for its leading spaces."""
         symbols = [c if c != _MARK else "" for c in word]
         symbols = [_MARK] + [_MARK if c == " " else c for c in symbols]
-        key = zlib.crc32(word.encode(), self.seed & 0xFFFFFFFF) * 0x100000001 ^ (variant * 0xD6E8FEB86659FD93) & _M64
+        key = self._key(word, variant)
         return (self._long if len(symbols) > _LONG else self._short)(symbols, key)
 
     def _short(self, symbols: list[str], key: int) -> list[str]:
@@ -143,10 +164,104 @@ class Segmenter:
         return out
 
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of pieces, _NEVER where they form none."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        known = (self.pair[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(known, self.pair_rank[at], _NEVER), self.pair_id[at]
+
+    def _together(self, ids: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_short`` for many words at a time: rows of piece ids, filled with -1; (rows, pieces per row)."""
+        done, sizes = np.full(ids.shape, -1, np.int32), np.zeros(len(ids), np.int64)
+        row, columns = np.arange(len(ids)), np.arange(ids.shape[1])
+        start = np.broadcast_to(columns, ids.shape).copy()
+        rank = self._ranks(ids, np.hstack([ids[:, 1:], np.full((len(ids), 1), -1, np.int32)]))[0]
+        while len(row):
+            best = rank.min(1)
+            live = best != _NEVER
+            if not live.all():
+                done[row[~live]], sizes[row[~live]] = ids[~live], count[~live]
+                ids, count, key, row, start, rank, best = (x[live] for x in (ids, count, key, row, start, rank, best))
+                if not len(row):
+                    break
+            every, at = np.arange(len(row)), rank.argmin(1)
+            x = key ^ (start[every, at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (best.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            skip = (x >> np.uint64(32)) < np.uint64(self.below)
+            rank[every[skip], at[skip]] = _NEVER
+            merged, place = every[~skip], at[~skip]
+            if not len(merged):
+                continue
+            joined = self._ranks(ids[merged, place], ids[merged, place + 1])[1]
+            moved = columns[None, :] + ((columns[None, :] > at[:, None]) & ~skip[:, None])
+            last = moved == ids.shape[1]
+            moved = np.minimum(moved, ids.shape[1] - 1)
+            ids, start, rank = (np.take_along_axis(y, moved, 1) for y in (ids, start, rank))
+            ids[last], rank[last] = -1, _NEVER
+            ids[merged, place] = joined
+            count[merged] -= 1
+            after = np.where(place + 1 < ids.shape[1], ids[merged, np.minimum(place + 1, ids.shape[1] - 1)], -1)
+            rank[merged, place] = self._ranks(joined, after)[0]
+            inner = place > 0
+            rank[merged[inner], place[inner] - 1] = self._ranks(ids[merged[inner], place[inner] - 1], joined[inner])[0]
+        return done, sizes
+
+    def many(self, words: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, ids per word)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        odd = sizes >= _LONG
+        parts: list[np.ndarray] = []
+        lengths, where = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        used = 0
+        sums = np.fromiter(map(zlib.crc32, map(str.encode, words), repeat(self.seed & 0xFFFFFFFF)), np.uint64, len(words))
+        keys = sums * np.uint64(0x100000001) ^ variants.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        plain = np.flatnonzero(~odd)
+        plain = plain[np.argsort(sizes[plain], kind="stable")]
+        for lo in range(0, len(plain), 8192):
+            own = plain[lo : lo + 8192]
+            width = int(sizes[own].max()) + 1
+            column = np.arange(width)
+            inside = column[None, :] <= sizes[own][:, None]
+            at = np.where(inside, begins[own][:, None] + column[None, :] - 1, 0)
+            ids = np.where(inside, points[np.clip(at, 0, max(len(points) - 1, 0))] if len(points) else 0, -1).astype(np.int32)
+            ids[:, 0] = self.mark
+            rows, counts = self._together(ids, sizes[own] + 1, keys[own])
+            parts.append(rows[rows != -1])
+            lengths[own], where[own] = counts, used + np.cumsum(counts) - counts
+            used += int(counts.sum())
+        for i in np.flatnonzero(odd).tolist():
+            ids = self.ids(words[i], int(variants[i]))
+            parts.append(np.array(ids, dtype=np.int32))
+            lengths[i], where[i], used = len(ids), used, used + len(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        stops = np.cumsum(lengths)
+        take = np.repeat(where - stops + lengths, lengths) + np.arange(used)
+        return self._spelled(flat[take], lengths)
+
+    def _spelled(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pieces in place of characters without a piece."""
+        unknown = np.flatnonzero(flat < 0)
+        if not len(unknown):
+            return flat, lengths
+        spelled = [[self.bytes[b] for b in chr(-2 - c).encode()] for c in flat[unknown].tolist()]
+        width = np.ones(len(flat), np.int64)
+        width[unknown] = [len(x) for x in spelled]
+        out = np.repeat(flat, width)
+        first = (np.cumsum(width) - width)[unknown]
+        at = np.repeat(first, width[unknown]) + np.concatenate([np.arange(len(x)) for x in spelled])
+        out[at] = [b for x in spelled for b in x]
+        ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return out, np.diff(ends)
+
+
 @lru_cache(maxsize=2)
 def _worker(path: str, dropout: float, seed: int, variants: int) -> tuple[Segmenter, Memo]:
     segmenter = Segmenter(path, dropout, seed)
-    return segmenter, Memo(lambda pairs: [segmenter.ids(w, v) for w, v in pairs], variants, limit=250_000)
+    return segmenter, Memo(segmenter.many, variants, limit=700_000)
 
 
 _SPACED = re.compile(r" *[^ ]+| +")
