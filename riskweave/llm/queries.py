@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk
+from riskweave.llm import html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,7 @@ def _documents(name: str, digest: Callable[[DataFrame], DataFrame], oracle: str
 
 
 _documents("op1_suffix_dedup", suffix_dedup.digest)
+QUERIES["op2_html_text"] = lambda spark, sf_dir: html_text.extract(table(spark, sf_dir, "pages"))
 _documents("op3_near_duplicates", minhash.digest, minhash.ORACLE)
 _documents("op4_source_mix", mixing.digest, mixing.ORACLE)
 _documents("op5_pii_spans", pii.digest)
