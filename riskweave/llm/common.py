@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators.ranking import global_rank
-from riskweave.runtime import scratch_path
+from riskweave.runtime import materialise
 
 #: A word is a longest run of characters other than space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,11 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; cuts lineage."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+stored = materialise
 
 
 def whole_text(df: DataFrame, name: str = "text") -> Column:
@@ -67,8 +63,8 @@ def restore_ids(out: DataFrame, ids: DataFrame | None, columns: list[str], row:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column end to end, and where each row starts (n + 1 offsets)."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Bytes of a string or binary column end to end, and where each row starts (n + 1 offsets)."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

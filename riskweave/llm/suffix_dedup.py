@@ -14,10 +14,11 @@ with one dictionary entry is done: it holds no string of any other phrase.
 
 Corpus order. Only the first 100 bytes of a suffix matter, and of their order only
 which suffixes fall together, so suffixes are sorted by a 128-bit key of these
-bytes. Each task sorts the suffixes of its dictionary entries whose trigger has
-several (their suffix array, with places); tasks pass on the earliest place of
-each prefix, and these lists combine in a last sort by prefix and place, where
-the first suffix is an original and the others are repeats.
+bytes, and entries whose trigger has several are sorted first by groups of eight
+neighbouring suffixes, then, where groups with a common part differ, one by one.
+Each task sorts what it holds (its part of the suffix array, with places) and
+passes on the earliest place of each key; these lists combine in a sort by key
+and place, where the first is an original and the others are repeats.
 
 Batches of a task settle their own repeats before any shuffle, so a trigger has
 at most one row per batch and phrase: a line that every document holds costs a
@@ -42,9 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import Roll, clear_ids, mix, restore_ids, slices, stored, text_bytes
+from riskweave.llm.common import Roll, clear_ids, mix, restore_ids, slices, text_bytes
+from riskweave.runtime import materialise, release
 
-LENGTH, TRIGGER = 100, 24
+LENGTH, TRIGGER, GROUP = 100, 24, 8
 _PIECE = 1 << 20  # bytes worked on at a time; positions within one fit 20 bits
 
 
@@ -65,9 +67,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Phrases of all rows: [trigger hash, phrase hash, row, first position, positions]."""
+    """Phrases of all rows: [trigger hash, phrase hash, row, first position, positions, place of the trigger in it]."""
     row_of = np.searchsorted(offsets, np.arange(0, len(data), _PIECE), side="right") - 1
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     for first in range(0, len(data) - LENGTH + 1, _PIECE):
         part = data[first : first + _PIECE + LENGTH - 1]
         roll = _roll()
@@ -94,7 +96,8 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         out[2].append(row[begins])
         out[3].append(begins + first - offsets[row[begins]])
         out[4].append(good)
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+        out[5].append(place[begins] - begins)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
@@ -120,58 +123,97 @@ def _joined(ident: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return ident[begins], at[begins], (np.add.reduceat(count, begins) if len(begins) else count)
 
 
-_ROWS = "high bigint, low bigint, id bigint, at bigint, n bigint, repeat boolean"
+#: A row of any stage. ``spot`` holds a position and two small numbers; settled repeats have their length in ``low``.
+_ROWS = "high bigint, low bigint, id bigint, spot bigint, repeat boolean"
 
 
-def _batch(high, low, ident, at, count, later) -> pa.RecordBatch:
-    """Originals of a batch, to be compared with other batches, and its settled repeats."""
+def _spot(at: np.ndarray, a: np.ndarray | int = 0, b: np.ndarray | int = 0) -> np.ndarray:
+    return at << 16 | a << 8 | b
+
+
+def _batch(high, low, ident, spot, at, count) -> pa.RecordBatch:
+    """Settle a batch: its originals, to be compared with other batches, and its own repeats as stretches."""
+    later = _repeats(high, low, ident, spot)
     settled = _joined(ident[later], at[later], count[later])
-    own = [high[~later].view(np.int64), low[~later].view(np.int64), ident[~later], at[~later], count[~later]]
     spread = mix(settled[0].view(np.uint64)).view(np.int64)
-    zeros = np.zeros(len(spread), np.int64)
-    columns = [np.concatenate([a, b]) for a, b in zip(own, [spread, zeros, *settled], strict=True)]
-    mark = np.concatenate([np.zeros(len(own[0]), bool), np.ones(len(spread), bool)])
-    return pa.RecordBatch.from_arrays(
-        [*map(pa.array, columns), pa.array(mark)], names=["high", "low", "id", "at", "n", "repeat"]
-    )
+    columns = [
+        np.concatenate([high[~later].view(np.int64), spread]), np.concatenate([low[~later].view(np.int64), settled[2]]),
+        np.concatenate([ident[~later], settled[0]]), np.concatenate([spot[~later], _spot(settled[1])]),
+        np.arange(len(later) - later.sum() + len(spread)) >= len(later) - later.sum(),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["high", "low", "id", "spot", "repeat"])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 16 << 20):
         data, offsets = text_bytes(batch.column("text"))
-        high, low, row, at, count = parse(data, offsets)
-        ident = batch.column("id").to_numpy()[row]
-        yield _batch(high, low, ident, at, count, _repeats(high, low, ident, at))
+        high, low, row, at, count, trigger = parse(data, offsets)
+        yield _batch(high, low, batch.column("id").to_numpy()[row], _spot(at, trigger, count), at, count)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort the 100-byte suffixes of a batch's open dictionary entries."""
+_ENTRY = "id bigint, at bigint, spot bigint, phrase binary"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the open dictionary entries of each row."""
     for batch in slices(batches, "text"):
         data, offsets = text_bytes(batch.column("text"))
-        entries = batch.column("entries")
-        per_row = np.diff(entries.offsets.to_numpy())
-        flat = entries.flatten()
-        at = flat.field("at").to_numpy()
-        count = flat.field("n").to_numpy()
-        trigger = flat.field("high").to_numpy()
-        row = np.repeat(np.arange(batch.num_rows), per_row)
-        total = int(count.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        place = np.repeat(at, count) + step
-        byte = place + np.repeat(offsets[row], count)
-        high = np.repeat(trigger, count).view(np.uint64)
-        low = np.empty(total, np.uint64)
+        spots = batch.column("spots")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
+        spot = spots.flatten().to_numpy()
+        begin, size = offsets[row] + (spot >> 16), (spot & 255) + LENGTH - 1
+        ends = np.cumsum(size)
+        take = np.repeat(begin - ends + size, size) + np.arange(int(size.sum()))
+        bounds = np.concatenate([[0], ends]).astype(np.int32)
+        phrases = pa.Array.from_buffers(pa.binary(), len(spot), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[take]))])
+        ident = batch.column("id").to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(spot >> 16), pa.array(spot), phrases], names=["id", "at", "spot", "phrase"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of the entries, GROUP neighbours at a time by their distance before the trigger.
+
+    The key's high half is what all suffixes of a group have in common, whichever of them an entry has.
+    """
+    for batch in slices(batches, "phrase", _PIECE):
+        data, offsets = text_bytes(batch.column("phrase"))
+        roll = _roll()
+        roll.load(data)
+        spot = batch.column("spot").to_numpy()
+        trigger, count = spot >> 8 & 255, spot & 255
+        # Suffix s lies o = trigger - s before it; the groups of an entry are those of its first to its last suffix.
+        last, first = trigger // GROUP, (trigger - count + 1) // GROUP
+        row = np.repeat(np.arange(len(spot)), last - first + 1)
+        number = np.repeat(first, last - first + 1) + np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+        t = trigger[row]
+        far = np.minimum(number * GROUP + GROUP - 1, LENGTH - TRIGGER)
+        begin = np.maximum(t - far, 0)
+        end = np.minimum(t - number * GROUP, count[row] - 1)
+        core = roll.spans(offsets[row] + t - number * GROUP, offsets[row] + t - far + LENGTH)
+        size = end - begin + 1
+        whole = roll.spans(offsets[row] + begin, offsets[row] + end + LENGTH)
+        high, low = mix(core + number.astype(np.uint64)), mix(whole + size.astype(np.uint64))
+        at = (spot >> 16)[row]
+        yield _batch(high, low, batch.column("id").to_numpy()[row], _spot(at, begin, size), at + begin, size)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every suffix of the groups that are still open."""
+    for batch in slices(batches, "phrase", _PIECE):
+        data, offsets = text_bytes(batch.column("phrase"))
         roll = _roll()
-        # Entries come in the order of rows and places: hash them a piece of text at a time.
-        order = np.argsort(byte, kind="stable")
-        edges = np.searchsorted(byte[order], np.arange(0, len(data) + _PIECE, _PIECE))
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if b > a:
-                roll.load(data[k * _PIECE : (k + 1) * _PIECE + LENGTH])
-                begin = byte[order[a:b]] - k * _PIECE
-                low[order[a:b]] = roll.spans(begin, begin + LENGTH)
+        roll.load(data)
+        spots = batch.column("spots")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(spots.offsets.to_numpy()))
+        flat = spots.flatten()
+        spot, high = flat.field("spot").to_numpy(), flat.field("high").to_numpy().view(np.uint64)
+        count = spot & 255
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        inner = np.repeat(spot >> 8 & 255, count) + step
+        begin = np.repeat(offsets[row], count) + inner
+        at = np.repeat(spot >> 16, count) + inner
         ident = np.repeat(batch.column("id").to_numpy()[row], count)
-        yield _batch(high, low, ident, place, np.ones(total, np.int64), _repeats(high, low, ident, place))
+        yield _batch(np.repeat(high, count), roll.spans(begin, begin + LENGTH), ident, _spot(at), at, np.ones(len(at), np.int64))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,30 +243,47 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out)
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """Mark repeats between batches; add ``several``: the key's high half has more than one low half."""
-    phrase = Window.partitionBy("high", "low").orderBy("id", "at")
+def _settle(rows: DataFrame, label: str) -> DataFrame:
+    """Compare batches; keep repeats, and originals whose high half has more than one low half (``several``)."""
+    phrase = Window.partitionBy("high", "low").orderBy("id", "spot")
     entry = Window.partitionBy("high")
-    return rows.repartition("high").withColumn("_rank", F.rank().over(phrase)).select(
-        "high", "id", "at", "n",
-        (F.col("repeat") | (F.col("_rank") > 1)).alias("repeat"),
-        (F.min(F.when(~F.col("repeat"), F.col("low"))).over(entry) != F.max(F.when(~F.col("repeat"), F.col("low"))).over(entry)).alias("several"),
+    own = F.when(~F.col("repeat"), F.col("low"))
+    ranked = rows.repartition("high").withColumn("_rank", F.rank().over(phrase)).select(
+        "*", (F.min(own).over(entry) != F.max(own).over(entry)).alias("several")
     )
+    # A repeat found here has its length in the low byte of its spot.
+    later = ~F.col("repeat") & (F.col("_rank") > 1)
+    kept = ranked.filter(F.col("repeat") | later | F.col("several")).select(
+        "high", "low", "id", "spot", "repeat", later.alias("later"), "several"
+    )
+    out = materialise(kept, label)
+    release(rows.sparkSession)
+    return out
+
+
+def _stretches(settled: DataFrame, inner: bool) -> DataFrame:
+    """(id, at, n) of the repeats; ``inner``: the spot's middle byte is part of the place."""
+    at = F.shiftright("spot", 16)
+    offset = F.shiftright("spot", 8).bitwiseAND(255) if inner else F.lit(0)
+    place = F.when(F.col("repeat"), at).otherwise(at + offset)
+    n = F.when(F.col("repeat"), F.col("low")).otherwise(F.col("spot").bitwiseAND(255))
+    return settled.filter("repeat or later").select("id", place.alias("at"), n.alias("n"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, at, n): stretches of n positions from ``at`` whose 100-byte strings start earlier too."""
-    parsed = _settle(docs.mapInArrow(_phrases, _ROWS))
-    parsed = stored(parsed.filter("repeat or several"), "phrases")
-    entries = parsed.filter("not repeat and several").groupBy("id").agg(
-        F.collect_list(F.struct("at", "n", "high")).alias("entries")
-    )
-    open_strings = docs.join(entries, "id").mapInArrow(_suffixes, _ROWS)
-    by_prefix = open_strings.repartition("high", "low").withColumn(
-        "_rank", F.rank().over(Window.partitionBy("high", "low").orderBy("id", "at"))
+    spark = docs.sparkSession
+    phrases = _settle(docs.mapInArrow(_phrases, _ROWS), "phrases")
+    open_phrases = phrases.filter("not repeat and not later and several").groupBy("id").agg(F.collect_list("spot").alias("spots"))
+    entries = materialise(docs.join(open_phrases, "id").mapInArrow(_entries, _ENTRY), "entries")
+    release(spark)
+    groups = _settle(entries.mapInArrow(_groups, _ROWS), "groups")
+    open_groups = groups.filter("not repeat and not later and several").groupBy("id", F.shiftright("spot", 16).alias("at")).agg(
+        F.collect_list(F.struct("spot", "high")).alias("spots")
     )
-    later = by_prefix.filter("repeat or _rank > 1").select("id", "at", "n")
-    return parsed.filter("repeat").select("id", "at", "n").unionByName(later)
+    suffixes = entries.select("id", "at", "phrase").join(open_groups, ["id", "at"]).mapInArrow(_suffixes, _ROWS)
+    last = _settle(suffixes, "suffixes").withColumn("spot", F.when(F.col("repeat"), F.col("spot")).otherwise(F.col("spot") + 1))
+    return _stretches(phrases, False).unionByName(_stretches(groups, True)).unionByName(_stretches(last, False))
 
 
 def remove(docs: DataFrame) -> DataFrame:
