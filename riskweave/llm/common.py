@@ -28,7 +28,7 @@ def whole_text(df: DataFrame, name: str = "text") -> Column:
 
 
 def clear_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """(rows with a unique non-null long ``id``, map id -> original id or None).
+    """(rows with a unique non-null long ``id``, rows (id, original id, hash of the text) or None).
 
     Ids that are already unique are kept as they are; finding out reads the id
     column only. Otherwise ids are replaced by ranks in the order of (id, hash
@@ -44,7 +44,7 @@ def clear_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ranks = stored(global_rank(keys, order, "rank").select("id", "_th", "rank"), "ids")
     same = marked["id"].eqNullSafe(ranks["id"]) & (marked["_th"] == ranks["_th"])
     cleared = marked.join(ranks, same).select(F.col("rank").alias("id"), "text").distinct()
-    return cleared, marked.join(ranks, same).select(F.col("rank").alias("id"), marked["id"].alias("original"))
+    return cleared, marked.join(ranks, same).select(F.col("rank").alias("id"), marked["id"].alias("original"), marked["_th"].alias("hash"))
 
 
 def restore_ids(out: DataFrame, ids: DataFrame | None, columns: list[str], row: str) -> DataFrame:
@@ -53,8 +53,8 @@ def restore_ids(out: DataFrame, ids: DataFrame | None, columns: list[str], row:
         return out
     names = out.columns
     for c in columns:
-        known = ids if c == row else ids.distinct()
-        known = known.select(F.col("id").alias(c), F.col("original").alias("_o"))
+        known = ids.select(F.col("id").alias(c), F.col("original").alias("_o"))
+        known = known if c == row else known.distinct()
         out = out.join(known, c, "left" if c != row else "inner").drop(c).withColumnRenamed("_o", c)
     return out.select(*names)
 

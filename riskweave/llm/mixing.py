@@ -131,7 +131,7 @@ def mix(docs: DataFrame, block: int = 256, seed: int = 0) -> Mix:
     """Mix all rows of ``docs`` (doc_id, text, source) to the target weights."""
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"))
+    slim = docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), word_count(docs["text"]).alias("size"))
     slim = stored(slim, "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(sizes), "mix-targets")
@@ -153,11 +153,36 @@ def mix(docs: DataFrame, block: int = 256, seed: int = 0) -> Mix:
     pieces = dealt.join(_slots(spark, goals, block), ["sid", "rank"])
     taken = pieces.groupBy("sid", "start", "size").agg(F.sum("words").alias("taken"))
     documents = placed.join(taken, ["sid", "start", "size"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "sid", "start"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "hash", "start"
     )
     return Mix(documents, pieces.select("slot", "doc_id", "epoch", "first_word", "words", "sid", "start"))
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Number rows that are equal in doc_id and text, so that each finds its own counterpart."""
+    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(order)))
+
+
+def apply(docs: DataFrame) -> DataFrame:
+    """The mix as rows of ``docs``: a document once for every time it is taken, the last time maybe its first words only."""
+    found = mix(docs).documents.filter("taken > 0").select("doc_id", F.col("hash").alias("_hash"), "start", "size", "taken")
+    counted = _numbered(found, "start").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("_copy").alias("_c"), "size", "taken")
+    rows = _numbered(docs.withColumn("_hash", F.xxhash64("text")), "doc_id")
+    same = rows["doc_id"].eqNullSafe(counted["_id"]) & (rows["_hash"] == counted["_h"]) & (rows["_copy"] == counted["_c"])
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    dealt = rows.join(counted, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
+    words = F.least(F.col("taken") - (F.col("_epoch") - 1) * F.col("size"), F.col("size"))
+    gap = r"[\x20\x09-\x0D]"
+    # A part at the end of a source: one row per source at most.
+    some = F.concat(F.lit(rf"^{gap}*+(?:{WORD}+{gap}*+){{"), words.cast("string"), F.lit("}+"))
+    cut = dealt.withColumn("_words", words).withColumn("_pattern", some)
+    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.regexp_substr("text", F.col("_pattern")))
+    changed = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).documents.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk
@@ -33,3 +34,6 @@ ORACLES["op7_exact_top_k"] = topk.ORACLE
 _documents("op8_token_files", token_files.digest)
 _documents("op9_piece_dropout", pieces.digest)
 _documents("op10_kneser_ney", ngram_lm.digest)
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
