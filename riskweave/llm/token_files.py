@@ -55,22 +55,27 @@ def _encoder(path: str) -> Memo:
     def whole(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(pairs):
-        words = [w.decode() for w, _ in pairs]
+    def encode(raw: list[bytes], _) -> tuple[np.ndarray, np.ndarray]:
+        words = [w.decode() for w in raw]
         out: list = [None] * len(words)
-        # Words of letters only are one unit each: they are encoded many at a time and parted at their ends.
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        # Letters are one unit and a mark after them another: such words are encoded many at a time and
+        # parted at the ends of their units.
+        units = [1 if w.isalpha() else 2 if w[-1] in ",.;:!?" and w[:-1].isalpha() else 0 for w in words]
+        plain = [i for i, n in enumerate(units) if n]
         for lo in range(0, len(plain), 256):
             part = plain[lo : lo + 256]
-            ids = np.array(whole([" ".join(words[i] for i in part)])[0], dtype=np.int64)
-            ends = np.flatnonzero(closes[ids]) + 1
-            if len(ends) == len(part) and len(ids) == ends[-1]:
-                for i, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    out[i] = ids[a:b].tolist()
+            joined = whole([" ".join(words[i] for i in part)])[0]
+            ends = np.flatnonzero(closes[joined]) + 1
+            last = np.cumsum([units[i] for i in part])
+            if len(ends) == last[-1] and len(joined) == ends[-1]:
+                stops = ends[last - 1].tolist()
+                for i, a, b in zip(part, [0, *stops[:-1]], stops, strict=True):
+                    out[i] = joined[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, whole([words[i] for i in rest]), strict=True):
             out[i] = ids
-        return out
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((i for x in out for i in x), np.int32, int(lengths.sum())), lengths
 
     return Memo(encode)
 
@@ -83,8 +88,9 @@ def encode_rows(path: str, end_id: int):
         for batch in slices(batches, "text"):
             words: list[bytes] = []
             counts = []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                own = (text or b"").split()
+            for text in batch.column("text").fill_null("").cast(pa.large_binary()).to_pylist():
+                # The tokenizer lowers case; doing it first saves words, but could make a special token's name.
+                own = (text if b"<|" in text else text.lower()).split()
                 counts.append(len(own))
                 words += own
             ids, per_word = memo.ids(words)
