@@ -2,15 +2,17 @@
 
 1. Each document gets 128 minima over its 5-word shingles. Four minima make one
    of 32 band keys; a pair of similarity 0.75 misses every band with probability
-   (1 - 0.75^4)^32 < 6e-6. The low 4 bits of all minima are packed into eight longs.
+   (1 - 0.75^4)^32 < 6e-6.
 2. Documents with the same set are one class from here on (128-bit set hash).
+   Classes that share a band key get 1024 minima, of which the low 2 bits are packed
+   into 32 longs.
 3. Band candidates: first the classes of a band key against the least class
    in it, then, once those links have joined most of a group, only classes of one
    band key that are still in different components. A candidate counts if the sizes
    allow the similarity and the collision-corrected estimate from the packed
-   bits lies within 5 standard deviations (0.2) of it.
-4. Candidates are confirmed on the whole sets, fetched once for the classes
-   that share a band key. Components over the confirmed links give the groups.
+   bits lies within 5 standard deviations (0.08) of it.
+4. Candidates are confirmed on the whole sets, kept for the classes that share
+   a band key. Components over the confirmed links give the groups.
 
 No group is expanded into all its pairs: a group whose members are linked to its
 least member costs one candidate per member and band.
@@ -35,10 +37,11 @@ from riskweave.llm.common import Roll, clear_ids, mix, restore_ids, slices, stor
 from riskweave.operators.graph import connected
 
 SHINGLE, PERCENT = 5, 75
-PERMS, BANDS, BITS = 128, 32, 4
-#: An estimate this far under the limit is 5 standard deviations off at 128 minima of 4 bits.
-SLACK = 0.2
-_LONGS = PERMS * BITS // 64
+PERMS, BANDS = 128, 32
+SKETCH, BITS = 1024, 2
+#: An estimate this far under the limit is 5 standard deviations off at 1024 minima of 2 bits.
+SLACK = 0.08
+_LONGS = SKETCH * BITS // 64
 
 
 @lru_cache(maxsize=1)
@@ -70,20 +73,20 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """PERMS minima of every non-empty set, 32 bits each; sets are cut from ``values`` at ``starts``."""
+def minima(values: np.ndarray, starts: np.ndarray, perms: int) -> np.ndarray:
+    """``perms`` minima of every non-empty set, 32 bits each; sets are cut from ``values`` at ``starts``."""
     # Fixed odd multipliers and addends of the permutations, from a counter.
-    seeds = mix(np.arange(1, 2 * PERMS + 1, dtype=np.uint64))
-    factors, addends = (seeds[:PERMS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), seeds[PERMS:].astype(np.uint32)
+    seeds = mix(np.arange(1, perms + 1, dtype=np.uint64))
+    factors, addends = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1), seeds.astype(np.uint32)
     short = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), PERMS), np.uint32)
+    out = np.empty((len(starts), perms), np.uint32)
     bounds = np.append(starts, len(short))
     first = 0
     while first < len(starts):  # as many sets as fit the processor's cache, or one larger set
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (1 << 17), side="right")) - 1)
         part, own = short[bounds[first] : bounds[last]], starts[first:last] - bounds[first]
         work = np.empty_like(part)
-        for p in range(PERMS):
+        for p in range(perms):
             np.multiply(part, factors[p], out=work)
             np.add(work, addends[p], out=work)
             work ^= work >> np.uint32(15)
@@ -108,7 +111,7 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return key
 
 
-_SIGNATURE = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, bits array<bigint>"
+_SIGNATURE = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
 
 def _lists(rows: np.ndarray, filled: np.ndarray) -> pa.ListArray:
@@ -127,13 +130,12 @@ def _signatures(shingle: int):
             if len(starts):
                 sums[0, filled] = np.add.reduceat(mix(values), starts)
                 sums[1, filled] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-            mins = minima(values, starts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), pa.array(counts), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                    _lists(band_keys(mins), filled), _lists(packed(mins), filled),
+                    _lists(band_keys(minima(values, starts, PERMS)), filled),
                 ],
-                names=["id", "n", "s1", "s2", "bands", "bits"],
+                names=["id", "n", "s1", "s2", "bands"],
             )
 
     return run
@@ -144,7 +146,13 @@ def _sets(shingle: int):
         for batch in slices(batches, "text"):
             values, offsets = shingle_sets(batch.column("text"), shingle)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "shingles"])
+            counts = np.diff(offsets)
+            filled = counts > 0
+            mins = minima(values, offsets[:-1][filled], SKETCH)
+            bits, bands = _lists(packed(mins), filled), _lists(band_keys(mins[:, :PERMS]), filled)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(counts), lists, bits, bands], names=["id", "n", "shingles", "bits", "bands"]
+            )
 
     return run
 
@@ -160,7 +168,7 @@ def _plausible(a: str, b: str, percent: int) -> Column:
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, shift))
         apart = apart + F.bit_count(any_bit.bitwiseAND(lanes))
     chance = 1.0 / (1 << BITS)
-    estimate = (F.lit(1.0) - apart / F.lit(float(PERMS)) - F.lit(chance)) / F.lit(1.0 - chance)
+    estimate = (F.lit(1.0) - apart / F.lit(float(SKETCH)) - F.lit(chance)) / F.lit(1.0 - chance)
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     return (100 * low >= percent * high) & (estimate >= percent / 100 - SLACK)
 
@@ -181,16 +189,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     classes = stored(
         filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "minhash-classes"
     )
-    own = marks.join(classes.select("id"), "id", "left_semi").select("id", "n", "bands", "bits")
+    own = marks.join(classes.select("id"), "id", "left_semi")
     keys = own.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     # Band keys of one class only, most of them, end here.
     members = stored(keys.join(shared.select("key", "hub"), "key"), "minhash-members")
-    bits = stored(own.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "bits"), "minhash-bits")
-    sets = stored(
-        docs.join(bits.select("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id bigint, shingles array<bigint>"),
-        "minhash-sets",
-    )
+    wanted = docs.join(members.select("id").distinct(), "id", "left_semi")
+    sets = stored(wanted.mapInArrow(_sets(shingle), "id bigint, n bigint, shingles array<bigint>, bits array<bigint>, bands array<bigint>"), "minhash-sets")
+    bits = sets.select("id", "n", "bits")
 
     def side(name: str) -> DataFrame:
         return bits.select(F.col("id").alias(name), F.struct("n", "bits").alias(f"{name}_"))
@@ -203,11 +209,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     # Keys with one component have nothing left to find.
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rest = stored(placed.join(spread.select("key"), "key"), "minhash-open").join(bits, "id")
-    one = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.struct("n", "bits").alias("a_"))
-    two = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.struct("n", "bits").alias("b_"))
-    apart = one.join(two, "key").filter((F.col("ca") < F.col("cb")) & _plausible("a_", "b_", percent))
-    found = _confirmed(apart.select("a", "b").distinct(), sets, percent)
+    rest = stored(placed.join(spread.select("key"), "key"), "minhash-open").join(sets.select("id", "n", "bits", "bands"), "id")
+    one = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.struct("n", "bits", "bands").alias("a_"))
+    two = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.struct("n", "bits", "bands").alias("b_"))
+    # Classes that share several band keys meet at the least of them only.
+    once = F.array_min(F.array_intersect("a_.bands", "b_.bands")) == F.col("key")
+    apart = one.join(two, "key").filter((F.col("ca") < F.col("cb")) & _plausible("a_", "b_", percent) & once)
+    found = _confirmed(apart.select("a", "b"), sets, percent)
     links = links.unionByName(stored(found, "minhash-links"))
     comps = connected(links, "a", "b").select(F.col("node").alias("rep"), "component")
     reps = classes.select("s1", "s2", "n", F.col("id").alias("rep")).join(comps, "rep", "left")
@@ -225,6 +233,20 @@ def digest(docs: DataFrame) -> DataFrame:
     return restore_ids(found, ids, ["doc_id", "component_id"], "doc_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of near-duplicates in ``docs`` the document with the least id, with its columns.
+
+    Of rows that are equal in doc_id and text one stays.
+    """
+    cleared, ids = clear_ids(docs)
+    kept = groups(cleared).filter("id = component").select("id")
+    if ids is None:
+        return docs.join(kept, docs["doc_id"] == kept["id"], "left_semi")
+    rows = ids.join(kept, "id", "left_semi").select("original", "hash").distinct()
+    same = docs["doc_id"].eqNullSafe(rows["original"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rows["hash"])
+    return docs.join(rows, same, "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 _W = r"[^\x20\x09-\x0D]+"
 ORACLE = rf"""
 WITH RECURSIVE w AS (
