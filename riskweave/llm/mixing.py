@@ -160,23 +160,26 @@ def mix(docs: DataFrame, block: int = 256, seed: int = 0) -> Mix:
 
 def _numbered(rows: DataFrame, order: str) -> DataFrame:
     """Number rows that are equal in doc_id and text, so that each finds its own counterpart."""
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(order)))
+    return rows.withColumn("_mix_copy", F.row_number().over(Window.partitionBy("doc_id", "_mix_hash").orderBy(order)))
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: a document once for every time it is taken, the last time maybe its first words only."""
-    found = mix(docs).documents.filter("taken > 0").select("doc_id", F.col("hash").alias("_hash"), "start", "size", "taken")
-    counted = _numbered(found, "start").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.col("_copy").alias("_c"), "size", "taken")
-    rows = _numbered(docs.withColumn("_hash", F.xxhash64("text")), "doc_id")
-    same = rows["doc_id"].eqNullSafe(counted["_id"]) & (rows["_hash"] == counted["_h"]) & (rows["_copy"] == counted["_c"])
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    dealt = rows.join(counted, same).withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
-    words = F.least(F.col("taken") - (F.col("_epoch") - 1) * F.col("size"), F.col("size"))
+    found = mix(docs).documents.filter("taken > 0").withColumnRenamed("hash", "_mix_hash")
+    counted = _numbered(found, "start").select(
+        F.col("doc_id").alias("_mix_id"), F.col("_mix_hash").alias("_mix_h"), F.col("_mix_copy").alias("_mix_c"),
+        F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"),
+    )
+    rows = _numbered(docs.withColumn("_mix_hash", F.xxhash64("text")), "doc_id")
+    same = rows["doc_id"].eqNullSafe(counted["_mix_id"]) & (rows["_mix_hash"] == counted["_mix_h"]) & (rows["_mix_copy"] == counted["_mix_c"])
+    size, taken = F.col("_mix_size"), F.col("_mix_taken")
+    dealt = rows.join(counted, same).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    words = F.least(taken - (F.col("_mix_epoch") - 1) * size, size)
     gap = r"[\x20\x09-\x0D]"
     # A part at the end of a source: one row per source at most.
-    some = F.concat(F.lit(rf"^{gap}*+(?:{WORD}+{gap}*+){{"), words.cast("string"), F.lit("}+"))
-    cut = dealt.withColumn("_words", words).withColumn("_pattern", some)
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.regexp_substr("text", F.col("_pattern")))
+    pattern = F.concat(F.lit(rf"^{gap}*+(?:{WORD}+{gap}*+){{"), words.cast("string"), F.lit("}+"))
+    cut = dealt.withColumn("_mix_words", words).withColumn("_mix_pattern", pattern)
+    text = F.when(F.col("_mix_words") == size, F.col("text")).otherwise(F.regexp_substr("text", F.col("_mix_pattern")))
     changed = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
