@@ -70,9 +70,18 @@ def words(code: Column) -> Column:
     return F.lower(F.replace(code, F.lit("_"), F.lit(" ")))
 
 
+#: White space of ASCII and the common wide spaces.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at either end; trim() alone takes blanks only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def first_text(df: DataFrame, names: Sequence[str], default: str) -> Column:
     """First non-blank of several columns."""
-    found = [F.when(F.trim(F.col(n).cast("string")) != "", F.col(n).cast("string")) for n in names if n in df.columns]
+    found = [F.when(stripped(F.col(n).cast("string")) != "", F.col(n).cast("string")) for n in names if n in df.columns]
     return F.coalesce(*found, F.lit(default))
 
 

@@ -9,30 +9,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions import dims
+from riskweave.functions.scalars import stripped
 
 
 def trim_text(df: DataFrame) -> DataFrame:
     """Trim every string column."""
     return df.select(
-        *[F.trim(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
+        *[stripped(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
     )
 
 
+def _number(name: str) -> Column:
+    """Value of a number column; null where a text column holds something else (a ``type:`` violation)."""
+    return F.col(name).try_cast("double")
+
+
+def _wrong_type(name: str, kind: str) -> Column:
+    if kind == "time":
+        return F.col(name).isNotNull() & ~F.col(name).cast("string").rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$")
+    return F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()
+
+
 def _not_in(name: str, allowed) -> Column:
     return F.col(name).isNotNull() & ~F.col(name).isin(*allowed)
 
 
 def _bad_flag(name: str) -> Column:
-    return F.col(name).isNotNull() & ~F.col(name).between(0, 1)
+    return F.coalesce(~_number(name).between(0, 1), F.lit(False))
 
 
 def _not_positive(name: str) -> Column:
-    return F.col(name).isNotNull() & ~(F.col(name) > 0)
+    return F.coalesce(~(_number(name) > 0), F.lit(False))
 
 
 def _negative(name: str) -> Column:
-    return F.col(name).isNotNull() & ~(F.col(name) >= 0)
-
+    return F.coalesce(~(_number(name) >= 0), F.lit(False))
+
+
+# Columns whose text must read as the given type, per table.
+TYPES = {
+    "transactions": {
+        "transaction_date": "date", "transaction_time": "time", "amount_npr": "double", "exchange_rate": "double",
+        "is_cross_border": "int", "ip_is_vpn": "int", "is_fraud": "int", "aml_risk_indicator": "int",
+    },
+    "accounts": {
+        "account_open_date": "date", "account_age_days": "int", "kyc_verified": "int", "is_pep": "int", "is_sanctioned": "int",
+        "average_monthly_volume": "double", "average_monthly_count": "double", "is_mule": "int",
+    },
+    "alert_scores": {"risk_score": "double", "alert_flag": "int"},
+}
 
 # Columns that must be present and not null, per table.
 REQUIRED = {
@@ -54,6 +79,7 @@ REQUIRED = {
 def rules(table: str) -> dict[str, Column]:
     """Rule name -> violation predicate for one of the three tables."""
     out = {f"required:{c}": F.col(c).isNull() for c in REQUIRED[table]}
+    out.update({f"type:{c}": _wrong_type(c, kind) for c, kind in TYPES[table].items()})
     if table == "transactions":
         out["enum:transaction_type"] = _not_in("transaction_type", dims.TRANSACTION_TYPES)
         out["enum:channel"] = _not_in("channel", dims.CHANNELS)
@@ -62,7 +88,7 @@ def rules(table: str) -> dict[str, Column]:
         out["positive:exchange_rate"] = _not_positive("exchange_rate")
         for c in ("is_cross_border", "ip_is_vpn", "is_fraud", "aml_risk_indicator"):
             out[f"flag:{c}"] = _bad_flag(c)
-        out["corridor:required"] = (F.col("is_cross_border") == 1) & F.col("remittance_corridor").isNull()
+        out["corridor:required"] = (_number("is_cross_border") == 1) & F.col("remittance_corridor").isNull()
     elif table == "accounts":
         out["enum:account_type"] = _not_in("account_type", dims.ACCOUNT_TYPES)
         out["enum:kyc_risk_grade"] = _not_in("kyc_risk_grade", dims.RISK_GRADES)
@@ -71,7 +97,7 @@ def rules(table: str) -> dict[str, Column]:
         for c in ("account_age_days", "average_monthly_volume", "average_monthly_count"):
             out[f"nonnegative:{c}"] = _negative(c)
     else:
-        score = F.col("risk_score")
+        score = _number("risk_score")
         out["range:risk_score"] = score.isNotNull() & (F.isnan(score) | ~score.between(0.0, 1.0))
         out["flag:alert_flag"] = _bad_flag("alert_flag")
     return out
@@ -121,7 +147,7 @@ def cast_report(df: DataFrame, schema: T.StructType) -> DataFrame:
     fields = [f for f in schema if f.name in df.columns]
 
     def value(f: T.StructField) -> Column:
-        return F.trim(F.col(f.name))
+        return stripped(F.col(f.name))
 
     aggs = []
     for i, f in enumerate(fields):
@@ -138,7 +164,7 @@ def cast_report(df: DataFrame, schema: T.StructType) -> DataFrame:
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast a text table to ``schema``; what does not cast becomes null."""
     return df.select(
-        *[F.trim(F.col(f.name).cast("string")).try_cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns]
+        *[stripped(F.col(f.name).cast("string")).try_cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns]
     )
 
 

@@ -118,7 +118,8 @@ def pagerank(
     """PageRank over distinct directed edges; (node, pagerank).
 
     The mass of nodes without out-edges is spread evenly. Stops when the total
-    change falls below ``nodes * tol``. A round shuffles one value per node and
+    change falls below ``nodes * tol``; not getting there in ``max_iter`` rounds is
+    an error. With ``tol`` 0 it runs exactly ``max_iter`` rounds. A round shuffles one value per node and
     the partly summed contributions, not the edges. Only two scalars per round
     reach the driver; ranks live in shared storage between rounds.
     """
@@ -148,6 +149,9 @@ def pagerank(
         ranks = ranks.drop("_moved")
         if moved < n * tol:
             break
+    else:
+        if tol > 0:
+            raise RuntimeError(f"PageRank moved {moved:g} in round {max_iter}, more than {n * tol:g}: raise max_iter or tol")
     return ranks.select("node", "pagerank")
 
 

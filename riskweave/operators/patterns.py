@@ -28,7 +28,7 @@ def payment_chains(e: DataFrame, hours: int, dense_rows: int) -> DataFrame:
     stream = base.select("transaction_id", "ts", F.inline(ends)).select(
         "*",
         F.concat_ws(":", "transaction_id", "side").alias("tie"),
-        F.concat_ws("|", "acct", "other").alias("pair"),
+        F.struct("acct", "other").alias("pair"),
     )
     arrival, departure = F.col("side") == "in", F.col("side") == "out"
     before, after = (-span, -1), (1, span)

@@ -398,7 +398,7 @@ def ex2(spark, d):
 def ex3(spark, d):
     table, model, phi = _alert_attributions(spark, d)
     reasons = meta.top_reasons(phi, _FIVE)
-    scored = explanation.add_meta(tx(spark, d), meta.score(table, model)).join(reasons, "transaction_id")
+    scored = explanation.add_meta(tx(spark, d), meta.score(table, model)).join(reasons, "transaction_id", "left")
     return explanation.score(scored).select("transaction_id", "reason_code", "explanation")
 
 

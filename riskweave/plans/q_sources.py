@@ -117,11 +117,10 @@ def io6(spark, d):
     original = _canonical(spark, d)
     rows = jsonrows.to_json_rows(original)
     back = jsonrows.from_json_rows(rows, schemas.TRANSACTIONS)
-    again = jsonrows.to_json_rows(back).withColumnRenamed("json", "again")
-    joined = rows.join(again, rows["json"] == again["again"]).select(
-        "again", F.from_json("json", schemas.TRANSACTIONS).alias("r")
-    ).select("again", "r.*")
-    return joined.groupBy("transaction_type").agg(
+    again = F.to_json(F.struct(*back.columns), {"ignoreNullFields": "false"})
+    both = rows.select("json", F.from_json("json", schemas.TRANSACTIONS).alias("r")).select("json", "r.*")
+    compared = both.withColumn("again", F.when(again == F.col("json"), again))
+    return compared.groupBy("transaction_type").agg(
         F.count("*").alias("n"),
         F.round(F.sum("amount_npr"), 2).alias("amount"),
         F.count("remittance_corridor").alias("corridors"),

@@ -60,12 +60,12 @@ def load_transactions(
     input_dir: str | None,
     csv: str | None,
     csv_schema: T.StructType,
-    csv_rows: int | None = 50_000,
+    csv_rows: int | None = None,
 ) -> DataFrame:
     """First source that exists: interim parquet, any transactions.parquet
     under the input folder, the raw CSV; else an error.
 
-    The raw CSV is read up to ``csv_rows`` rows (None for all).
+    The raw CSV is read whole unless ``csv_rows`` caps it for a quick look.
     """
     if exists(spark, interim):
         return read_parquet(spark, interim)
