@@ -13,7 +13,7 @@ from riskweave.operators.skew import split_heavy, spread_join
 HOUR_MICROS = 3_600_000_000
 # Exact running totals of money: differences of double prefix sums would lose
 # the small windows of a key with a long history.
-_MONEY = "decimal(38,6)"
+_MONEY = "decimal(38,12)"
 
 
 def fill_missing_time(df: DataFrame, ts: str, tie: str) -> DataFrame:
@@ -42,7 +42,9 @@ def activity_windows(
     of the key's previous row, and mean and deviation of the key's history.
 
     Rows with equal time count up to the current row in ``tie`` order. The
-    windows of ordinary keys share one shuffle by ``key``.
+    windows of ordinary keys share one shuffle by ``key``. A null, NaN or infinite
+    value is a row without an amount on either path: it is counted, adds 0
+    to sums, and has no part in mean and deviation.
     """
     ordinary, dense = split_heavy(df, key, dense_rows)
     out = native_windows(ordinary, key, ts, tie, value, hours)
@@ -51,45 +53,52 @@ def activity_windows(
     return out.unionByName(chunked_windows(dense, key, ts, tie, value, hours, hot_rows))
 
 
+def _with_finite(df: DataFrame, value: str) -> DataFrame:
+    """Add ``_finite``: the value, null where it is NaN or infinite."""
+    return df.withColumn("_finite", F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value).cast("double")))
+
+
 def native_windows(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:
     """The activity windows as Spark windows over one shuffle by ``key``.
 
     A range frame takes every row with the current time, so the rows of the
     same time that come later are taken off again.
     """
+    df, value = _with_finite(df, value), "_finite"
     whole, same, by_time = Window.partitionBy(key), Window.partitionBy(key, ts), Window.partitionBy(key).orderBy(ts)
     upto = same.orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = df.select(
         "*",
         F.lag(ts).over(whole.orderBy(ts, tie)).alias("previous_ts"),
         F.count("*").over(upto).alias("_un"),
-        F.sum(value).over(upto).alias("_uv"),
+        F.coalesce(F.sum(value).over(upto), F.lit(0.0)).alias("_uv"),
     )
     tied = ordered.select(
         "*",
         (F.count("*").over(same) - F.col("_un")).alias("_later_n"),
-        (F.sum(value).over(same) - F.col("_uv")).alias("_later_v"),
+        (F.coalesce(F.sum(value).over(same), F.lit(0.0)) - F.col("_uv")).alias("_later_v"),
     )
     cols = []
     for h in hours:
         frame = by_time.rangeBetween(-(int(h) * HOUR_MICROS - 1), 0)
         cols.append((F.count("*").over(frame) - F.col("_later_n")).cast("double").alias(f"count_{h}h"))
-        cols.append((F.sum(value).over(frame) - F.col("_later_v")).alias(f"sum_{h}h"))
+        cols.append((F.coalesce(F.sum(value).over(frame), F.lit(0.0)) - F.col("_later_v")).alias(f"sum_{h}h"))
     return tied.select(
         "*", *cols, F.avg(value).over(whole).alias("key_mean"), F.stddev_samp(value).over(whole).alias("key_std")
-    ).drop("_un", "_uv", "_later_n", "_later_v")
+    ).drop("_un", "_uv", "_later_n", "_later_v", "_finite")
 
 
 def chunked_windows(
     df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int], hot_rows: int
 ) -> DataFrame:
     """The activity windows over range chunks, for keys of any size."""
+    df, value = _with_finite(df, value), "_finite"
     stats = df.groupBy(key).agg(
         F.avg(value).alias("key_mean"), F.stddev_samp(value).alias("key_std"), F.count("*").alias("_n")
     )
     heavy = _prefixed(df, key, ts, tie, value, hours)
     heavy = running(heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)})
-    return spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n")
+    return spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n", "_finite")
 
 
 def _prefixed(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:

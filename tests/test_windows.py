@@ -59,6 +59,21 @@ def test_native_and_chunked_moments_agree(spark, skewed):
         assert row["key_std"] is None or row["key_std"] == pytest.approx(two[tie]["key_std"])
 
 
+def test_both_paths_sum_alike(spark):
+    """Amounts far below a cent, and amounts that are no number."""
+    amounts = [4e-7] * 10 + [float("inf"), float("nan"), None, 1.0]
+    rows = [("a", i * 60_000_000, f"T{i:02d}", v) for i, v in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "key string, ts bigint, tie string, v double")
+    small, dense = (
+        {r["tie"]: r for r in R.activity_windows(df, "key", "ts", "tie", "v", (1,), limit, 10).collect()} for limit in (100, 1)
+    )
+    for tie, row in small.items():
+        for c in ("count_1h", "sum_1h", "key_mean", "key_std"):
+            assert row[c] == pytest.approx(dense[tie][c], rel=1e-9), (tie, c)
+    assert small["T09"]["sum_1h"] == pytest.approx(4e-6) and small["T13"]["sum_1h"] == pytest.approx(1.000004)
+    assert small["T13"]["count_1h"] == 14
+
+
 @pytest.mark.parametrize("dense_rows", [100, 1])
 def test_tied_times_count_up_to_the_row(spark, dense_rows):
     half = HOUR // 2
