@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from riskweave.operators import graph as G
 from riskweave.operators.patterns import payment_chains

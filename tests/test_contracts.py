@@ -110,3 +110,19 @@ def test_lookup_tables():
     assert abs(sum(dims.CHANNEL_MIX.values()) - 1.0) < 1e-9
     assert all(low < high for low, high in dims.RATE_RANGE.values())
     assert set(dims.CORRIDOR_CURRENCY.values()) <= set(dims.RATE_RANGE)
+
+
+def test_white_space_types_and_time_of_day(spark):
+    good = {
+        "transaction_id": "T1", "transaction_date": "2022-01-02", "transaction_time": "09:05:00", "sender_account_id": "A", "receiver_account_id": "B",
+        "transaction_type": "\tpayment\n", "amount_npr": "10.5", "original_currency": "NPR", "exchange_rate": "1.0", "channel": "branch",
+        "is_cross_border": "0", "device_type": "x", "ip_address": "1.1.1.1", "ip_is_vpn": "0", "is_fraud": "0", "aml_risk_indicator": "0",
+        "fraud_type": None, "remittance_corridor": None,
+    }
+    rows = [good, {**good, "transaction_id": "T2", "transaction_time": "99:99:99"}, {**good, "transaction_id": "T3", "is_fraud": "yes"}, {**good, "transaction_id": "T4", "amount_npr": "ten"}]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} string" for c in good))
+    valid, broken = C.split_valid(df, "transactions")
+    assert [(r.transaction_id, r.transaction_type) for r in valid.collect()] == [("T1", "payment")]
+    assert {r.transaction_id: r.violations for r in broken.collect()} == {
+        "T2": ["type:transaction_time"], "T3": ["type:is_fraud"], "T4": ["type:amount_npr"],
+    }
