@@ -134,7 +134,7 @@ def _count_pairs(buckets: int, common: np.ndarray):
             blobs = [_pack(u[a:b], w[a:b], count[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             words, offsets = tokens(batch.column("text"))
             held.append((contexts(words, offsets), words))
             if sum(len(w) for _, w in held) >= TOKENS:
@@ -321,7 +321,7 @@ def _score(model: Model):
     unseen = model.tokens + model.known + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             words, offsets = tokens(batch.column("text"))
             count, logs = model.score(contexts(words, offsets), words)
             at = offsets[:-1]
