@@ -2,7 +2,8 @@
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``. ``n_chars`` follows the text where
+All but the last return the columns of ``documents``; the mix adds ``copy``, so that
+repeats of a document are encoded by draws of their own. ``n_chars`` follows the text where
 a stage changes it.
 """
 
@@ -32,7 +33,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: whole, up to three times, the last time as a part."""
-    return mixing.apply(docs)
+    return mixing.apply(docs, copy="copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 
-class _Numbered(dict):
+class Numbered(dict):
     def __missing__(self, word):
         self[word] = number = len(self)
         return number
@@ -25,14 +25,14 @@ class Memo:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers = _Numbered()
+        self.numbers = Numbered()
         self.words: list = []
         self.slot = np.full(1 << 12, -1, np.int32)
         self.start, self.length, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
     @staticmethod
-    def _room(array: np.ndarray, n: int, fill: int = 0) -> np.ndarray:
+    def room(array: np.ndarray, n: int, fill: int = 0) -> np.ndarray:
         if n <= len(array):
             return array
         bigger = np.full(max(n, 2 * len(array)), fill, array.dtype)
@@ -45,10 +45,10 @@ class Memo:
             self.words.extend(list(self.numbers)[len(self.words) :])
         flat, lengths = self.encode([self.words[k] for k in (keys // v).tolist()], keys % v)
         new, total = len(lengths), len(flat)
-        self.flat = self._room(self.flat, self.used + total)
+        self.flat = self.room(self.flat, self.used + total)
         self.flat[self.used : self.used + total] = flat
-        self.start = self._room(self.start, self.filled + new)
-        self.length = self._room(self.length, self.filled + new)
+        self.start = self.room(self.start, self.filled + new)
+        self.length = self.room(self.length, self.filled + new)
         self.start[self.filled : self.filled + new] = self.used + np.cumsum(lengths) - lengths
         self.length[self.filled : self.filled + new] = lengths
         self.slot[keys] = np.arange(self.filled, self.filled + new)
@@ -60,7 +60,7 @@ class Memo:
             self._reset()
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         keys = numbers * self.variants + variant
-        self.slot = self._room(self.slot, len(self.numbers) * self.variants, -1)
+        self.slot = self.room(self.slot, len(self.numbers) * self.variants, -1)
         slots = self.slot[keys]
         if (unknown := slots < 0).any():
             self._learn(np.unique(keys[unknown]))

@@ -163,8 +163,11 @@ def _numbered(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("_mix_copy", F.row_number().over(Window.partitionBy("doc_id", "_mix_hash").orderBy(order)))
 
 
-def apply(docs: DataFrame) -> DataFrame:
-    """The mix as rows of ``docs``: a document once for every time it is taken, the last time maybe its first words only."""
+def apply(docs: DataFrame, copy: str | None = None) -> DataFrame:
+    """The mix as rows of ``docs``: a document once for every time it is taken, the last time maybe its first words only.
+
+    ``copy`` adds a column that numbers the rows of equal doc_id and original text.
+    """
     found = mix(docs).documents.filter("taken > 0").withColumnRenamed("hash", "_mix_hash")
     counted = _numbered(found, "start").select(
         F.col("doc_id").alias("_mix_id"), F.col("_mix_hash").alias("_mix_h"), F.col("_mix_copy").alias("_mix_c"),
@@ -183,7 +186,9 @@ def apply(docs: DataFrame) -> DataFrame:
     changed = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    # Rows equal in the documents, and within these the times each is taken.
+    number = F.shiftleft(F.col("_mix_c").cast("bigint"), 32) + F.col("_mix_epoch")
+    return changed.select(*docs.columns, *([number.alias(copy)] if copy else []))
 
 
 def digest(docs: DataFrame) -> DataFrame:

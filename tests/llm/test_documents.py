@@ -319,6 +319,28 @@ def test_many_words_at_a_time_merge_like_one():
     assert one._short(list(long_word), 99) == one._long(list(long_word), 99)
 
 
+def test_every_occurrence_has_a_draw_of_its_own(spark):
+    docs = spark.createDataFrame([(i, "international " * 200) for i in range(30)], "doc_id long, text string")
+    one = pieces.Segmenter(pieces.default_model(), 0.1, 17)
+    draws = np.arange(6000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words = ["international", "the", "日本語", " two", "x" * 30, "heanthe" * 20] * 1000
+    flat, lengths = pieces.Drawn(one).ids(words, draws)
+    assert flat.tolist() == [i for w, d in zip(words, draws.tolist(), strict=True) for i in one.ids(w, d)]
+    # Each step is skipped with the chance given.
+    ways = collections.Counter(tuple(one.ids("international", d)) for d in draws.tolist())
+    steps = int(one.masked(["international"], np.zeros(1, np.uint64))[2][0])
+    assert len(ways) > 30 and abs((one._gap(draws, 0) >= steps).mean() - 0.9**steps) < 0.03
+    # Over a corpus a word has more ways than any fixed number of variants, and copies differ.
+    assert len({tuple(r.ids) for r in pieces.encode(docs).collect()}) == 30
+    copies = docs.filter("doc_id = 1").crossJoin(spark.range(3).toDF("copy"))
+    assert len({tuple(r.ids) for r in pieces.encode(copies).collect()}) == 3
+
+
+def test_mix_numbers_its_copies(odd):
+    rows = mixing.apply(odd.drop("copy"), copy="copy")
+    assert rows.select("doc_id", F.xxhash64("text"), "copy").distinct().count() == rows.count() == mixing.apply(odd).count()
+
+
 # ---- language model -------------------------------------------------------------------
 
 
