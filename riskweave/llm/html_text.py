@@ -43,6 +43,8 @@ _WORDS = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video textarea select button title head".split())
 _RAW = frozenset("script style noscript template iframe textarea title".split())
+# Looked for in the page itself: lower-casing changes the length of some texts.
+_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in _RAW}
 _BLOCKS = frozenset(
     "html body article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th"
     " caption blockquote pre figure figcaption fieldset legend address hr details summary dialog menu center label option".split()
@@ -158,7 +160,6 @@ def blocks(page: str) -> list[_Block]:
                 return
 
     at, end = 0, len(page)
-    lower = None
     while at < end:
         start = page.find("<", at)
         if start < 0:
@@ -213,12 +214,10 @@ def blocks(page: str) -> list[_Block]:
         if m[3].rstrip().endswith("/") and name in _SKIPPED:
             continue
         if name in _RAW:
-            if lower is None:
-                lower = page.lower()
-            stop = lower.find(f"</{name}", at)
-            if stop < 0:
+            stop = _ENDS[name].search(page, at)
+            if stop is None:
                 break
-            close = page.find(">", stop)
+            close = page.find(">", stop.start())
             at = end if close < 0 else close + 1
             continue
         push(name, m[3])

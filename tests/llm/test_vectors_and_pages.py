@@ -109,3 +109,8 @@ def test_pipeline_keeps_what_its_stages_decide(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= single
     assert out.filter("not lossless").count() == 0
+
+
+def test_letters_that_grow_when_lower_cased_move_no_end_tag():
+    page = "<p>" + "İ" * 20 + "</p><SCRIPT>x</ScRiPt><p>First paragraph</p><p>Second</p>"
+    assert [b.text for b in html_text.blocks(page)] == ["İ" * 20, "First paragraph", "Second"]
