@@ -307,7 +307,7 @@ def me6(spark, d):
 
 @query("me7_feature_importances")
 def me7(spark, d):
-    _, model = _fitted(spark, d, {"meta_learner_n_estimators": 50})
+    _, model = _fitted(spark, d)
     return model.importances(spark)
 
 
@@ -324,16 +324,15 @@ def me8(spark, d):
     return out.select("transaction_id", *[(F.round(f"phi_{c}", 6) + 0.0).alias(f"phi_{c}") for c in _FIVE])
 
 
-def _alert_attributions(spark, d):
-    table, model = _fitted(spark, d, {"meta_learner_n_estimators": 50})
-    alerted = meta.score(table, model).filter("alert_flag = 1").select("transaction_id")
-    rows = table.join(alerted, "transaction_id", "left_semi")
-    return table, model, meta.attributions(rows, _FIVE, model.transform, meta.feature_means(table, _FIVE))
+def _forest_attributions(spark, d):
+    """Of every row, by the default model."""
+    table, model = _fitted(spark, d)
+    return table, model, meta.attributions(table, _FIVE, model.transform, meta.feature_means(table, _FIVE))
 
 
 @query("me8_attributions_forest")
 def me8_forest(spark, d):
-    return _alert_attributions(spark, d)[2]
+    return _forest_attributions(spark, d)[2]
 
 
 @query(
@@ -396,7 +395,7 @@ def ex2(spark, d):
 
 @query("ex3_attribution_reasons")
 def ex3(spark, d):
-    table, model, phi = _alert_attributions(spark, d)
+    table, model, phi = _forest_attributions(spark, d)
     reasons = meta.top_reasons(phi, _FIVE)
     scored = explanation.add_meta(tx(spark, d), meta.score(table, model)).join(reasons, "transaction_id", "left")
     return explanation.score(scored).select("transaction_id", "reason_code", "explanation")

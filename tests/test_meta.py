@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.plans import q_scorers
+from riskweave.plans.views import tx
 from riskweave.scorers import meta
 
 FIVE = [f"{a}_score" for a in meta.AGENTS]
@@ -97,3 +99,19 @@ def test_attributions_add_up(wide):
 def test_top_reasons_are_positive_and_ordered(spark):
     phi = spark.createDataFrame([("a", 0.1, -0.2, 0.3, 0.0, 0.05)], "transaction_id string, " + ", ".join(f"phi_{c} double" for c in FIVE))
     assert meta.top_reasons(phi, FIVE).first()["attribution_reasons"] == ["behaviour", "velocity", "graph"]
+
+
+def test_attributions_and_importances_of_all_rows_by_the_default_model(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def fit(table, settings=None):
+        asked.append(settings)
+        return q_scorers._average_model()
+
+    monkeypatch.setattr(q_scorers.meta, "fit", fit)
+    monkeypatch.setattr(meta.MetaModel, "importances", lambda self, spark: None)
+    rows = tx(spark, sf_dir).count()
+    assert q_scorers.me8_forest(spark, sf_dir).count() == rows
+    assert q_scorers.ex3(spark, sf_dir).count() == rows
+    q_scorers.me7(spark, sf_dir)
+    assert asked == [None] * 3
