@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import graph as G
 from riskweave.operators.patterns import payment_chains
+from riskweave.plans.catalog import ORACLES, QUERIES
 from riskweave.scorers import network
 
 HOUR = 3_600_000_000
@@ -160,3 +161,8 @@ def test_node_model_round_trip(spark, sf_dir, tmp_path):
     again = network.node_scores(hops, loaded).select("node", F.col("node_score").alias("b"))
     gap = scores.join(again, "node").agg(F.max(F.abs(F.col("node_score") - F.col("b"))), F.count("*")).first()
     assert gap[0] < 1e-6 and gap[1] == scores.count()
+
+
+def test_a_query_checks_pagerank_run_to_its_own_stop(spark, sf_dir):
+    done = {r.node: r.pagerank for r in QUERIES["g8_pagerank_converged"](spark, sf_dir).collect()}
+    assert "g8_pagerank_converged" in ORACLES and sum(done.values()) == pytest.approx(1.0, abs=1e-6)
