@@ -255,3 +255,14 @@ def o3(spark, d):
     t = tx(spark, d)
     stored = geo.score(t).filter(F.col("risk_score") > 0.1)
     return A.explain(stored, t.select("transaction_id"), "geo_risk")
+
+
+@query(
+    "o3_explain_all_transactions",
+    """SELECT transaction_id, 'Transaction ' || transaction_id || ': ' || lower(replace(coalesce(reason_code, 'no geographic score is available'), '_', ' ')) || '.' AS explanation
+ FROM tx LEFT JOIN geo g USING (transaction_id)""",
+    ctes=(S.GEO_F, S.GEO),
+)
+def o3_all(spark, d):
+    t = tx(spark, d)
+    return A.explain(geo.score(t), t.select("transaction_id"), "geo_risk")

@@ -108,6 +108,17 @@ def j6(spark, d):
     return P.rounded(network.map_to_transactions(t, scores), "node_score")
 
 
+@query(
+    "j6_all_node_scores_to_transactions",
+    """SELECT transaction_id, round(coalesce(n.node_score, (SELECT avg(node_score) FROM gs)), 6) AS node_score
+ FROM tx LEFT JOIN gs n ON n.node = tx.sender_account_id""",
+    ctes=(*S.GRA_ALL[:2], S.GSCORE),
+)
+def j6_all(spark, d):
+    t = tx(spark, d)
+    return P.rounded(network.map_to_transactions(t, network.heuristic_scores(G.node_features(G.edges(t)))), "node_score")
+
+
 @query(
     "j7_window_score_to_transactions",
     """SELECT transaction_id, round(CASE WHEN r <= 16 THEN total ELSE 0 END, 6) AS seq_score FROM

@@ -3,6 +3,7 @@
 import pytest
 
 from riskweave.operators.alerts import explain
+from riskweave.plans.catalog import QUERIES
 from riskweave.scorers import explanation
 
 
@@ -59,3 +60,14 @@ def test_unscored_transactions(spark, agent, text):
 
     ids = spark.createDataFrame([("a",)], "transaction_id string")
     assert explain(empty_alerts(spark), ids, agent).first()["explanation"] == text
+
+
+def test_every_transaction_is_explained_by_its_own_score(spark, sf_dir):
+    rows = QUERIES["o3_explain_all_transactions"](spark, sf_dir).collect()
+    assert rows and not any("no geographic score" in r.explanation for r in rows)
+
+
+def test_every_sender_with_a_score_keeps_it(spark, sf_dir):
+    scores = {r.transaction_id: r.node_score for r in QUERIES["j6_all_node_scores_to_transactions"](spark, sf_dir).collect()}
+    some = {r.transaction_id: r.node_score for r in QUERIES["j6_node_score_to_transactions"](spark, sf_dir).collect()}
+    assert scores.keys() == some.keys() and len(set(scores.values())) > len(set(some.values()))
