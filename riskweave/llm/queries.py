@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk
+from riskweave.llm import (
+    filter_audit, html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk,
+)
 from riskweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +36,10 @@ ORACLES["op7_exact_top_k"] = topk.ORACLE
 _documents("op8_token_files", token_files.digest)
 _documents("op9_piece_dropout", pieces.digest)
 _documents("op10_kneser_ney", ngram_lm.digest)
+QUERIES["op12_filter_audit"] = lambda spark, sf_dir: filter_audit.digest(
+    table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+)
+ORACLES["op12_filter_audit"] = filter_audit.ORACLE
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
