@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import (
     filter_audit, html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk,
+    whitening,
 )
 from riskweave.llm.common import table
 
@@ -40,6 +41,7 @@ QUERIES["op12_filter_audit"] = lambda spark, sf_dir: filter_audit.digest(
     table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
 )
 ORACLES["op12_filter_audit"] = filter_audit.ORACLE
+QUERIES["op13_embedding_whitening"] = lambda spark, sf_dir: whitening.digest(table(spark, sf_dir, "embeddings"))
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
