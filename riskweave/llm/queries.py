@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import (
-    filter_audit, html_text, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk,
+    filter_audit, html_text, licenses, minhash, mixing, ngram_lm, pieces, pii, quality, suffix_dedup, token_files, topk,
     whitening,
 )
 from riskweave.llm.common import table
@@ -37,6 +37,7 @@ ORACLES["op7_exact_top_k"] = topk.ORACLE
 _documents("op8_token_files", token_files.digest)
 _documents("op9_piece_dropout", pieces.digest)
 _documents("op10_kneser_ney", ngram_lm.digest)
+_documents("op11_license_scan", licenses.digest, licenses.ORACLE)
 QUERIES["op12_filter_audit"] = lambda spark, sf_dir: filter_audit.digest(
     table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
 )
