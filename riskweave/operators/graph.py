@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def distinct_edges(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").distinct()
 
 
-def _laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> DataFrame:
+def laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> DataFrame:
     """Edges stored by (src, _part), so that no round shuffles them again.
 
     Sources with many edges get several parts. The list of such sources has
@@ -125,7 +127,7 @@ def pagerank(
     """
     de = cut(distinct_edges(e))
     degree = de.groupBy("src").agg(F.count("*").alias("deg"))
-    laid = _laid_out_edges(de, degree, rows_per_task)
+    laid = laid_out_edges(de, degree, rows_per_task)
     base = _laid_out_nodes(e, degree)
     n, ends = base.agg(F.count("*"), F.count(F.when(F.col("deg") == 0, 1))).first()
     if n == 0:
@@ -200,44 +202,49 @@ def fan_patterns(e: DataFrame, k: int) -> DataFrame:
     )
 
 
+def closed_triples(links: DataFrame, keys: Sequence[str] = (), rows_per_task: int = 5_000_000) -> DataFrame:
+    """Every three accounts that are pairwise linked, once (within equal ``keys``).
+
+    ``links`` has one row (keys, u < v, fwd, back) per pair; fwd and back are any
+    marks of the directions u to v and v to u. Each link points from the account with fewer
+    links to the one with more. Then no account has more than sqrt(2 * links) outgoing
+    ones, hubs included, and two of them at a time, taken at this low end, are closed by a third
+    link: the joins grow with links^1.5 at worst and no hub has to be left out.
+    Returns keys, a, b < c, and the marks ab, ba, ac, ca, bc, cb.
+    """
+    keys = list(keys)
+    degree = links.select(*keys, F.explode(F.array("u", "v")).alias("n")).groupBy(*keys, "n").agg(F.count("*").alias("d"))
+    of = lambda end, d: degree.select(*keys, F.col("n").alias(end), F.col("d").alias(d))
+    # Attaching the degrees touches each link twice; hubs are spread.
+    known = spread_join(links, of("u", "du"), [*keys, "u"], "du", "v", rows_per_task, "inner")
+    known = spread_join(known, of("v", "dv"), [*keys, "v"], "dv", "u", rows_per_task, "inner")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    turned = lambda one, other: F.when(up, F.col(one)).otherwise(F.col(other))
+    pointed = cut(
+        known.select(*keys, turned("u", "v").alias("a"), turned("v", "u").alias("b"), turned("fwd", "back").alias("ab"), turned("back", "fwd").alias("ba"))
+    )
+    other = pointed.select(*keys, "a", F.col("b").alias("c"), F.col("ab").alias("ac"), F.col("ba").alias("ca"))
+    third = links.select(*keys, F.col("u").alias("b"), F.col("v").alias("c"), F.col("fwd").alias("bc"), F.col("back").alias("cb"))
+    wedges = pointed.join(other, [*keys, "a"]).filter("b < c")
+    return wedges.join(third, [*keys, "b", "c"]).select(*keys, "a", "b", "c", "ab", "ba", "ac", "ca", "bc", "cb")
+
+
 def triangles(e: DataFrame) -> DataFrame:
     """Every set of three accounts that are pairwise connected, once.
 
-    Each undirected link points from the account with fewer partners to the
-    one with more. Then no account has more than sqrt(2 * links) outgoing
-    links, hubs included, so the joins grow with links^1.5 at worst and no hub
-    has to be left out. ``ab``/``bc``/``ac`` carry bit 1 for a payment in the
-    pointed direction and bit 2 for one against it.
+    ``ab``/``bc``/``ac`` carry bit 1 for a payment from the first account to the second and
+    bit 2 for one from the second to the first.
     """
     low_first = F.col("src") < F.col("dst")
     links = (
         e.filter(F.col("src") != F.col("dst"))
         .groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
-        .agg(
-            (F.max(F.when(low_first, 1).otherwise(0)) + F.max(F.when(low_first, 0).otherwise(2))).alias("dirs")
-        )
+        .agg(F.max(low_first.cast("int")).alias("fwd"), F.max((~low_first).cast("int")).alias("back"))
     )
-    links = cut(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
-    du = degree.select(F.col("n").alias("u"), F.col("d").alias("du"))
-    dv = degree.select(F.col("n").alias("v"), F.col("d").alias("dv"))
-    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    swapped = F.when(F.col("dirs") == 3, 3).otherwise(3 - F.col("dirs"))
-    # Attaching the degrees touches each link twice; hubs are spread.
-    with_deg = spread_join(
-        spread_join(links, du, ["u"], "du", "v", 5_000_000, "inner"), dv, ["v"], "dv", "u", 5_000_000, "inner"
-    )
-    pointed = cut(
-        with_deg.select(
-            F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"),
-            F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"),
-            F.when(up, F.col("dirs")).otherwise(swapped).alias("dirs"),
-        )
+    bits = lambda one, other: (F.col(one) + 2 * F.col(other))
+    return closed_triples(cut(links)).select(
+        "a", "b", "c", bits("ab", "ba").alias("ab"), bits("bc", "cb").alias("bc"), bits("ac", "ca").alias("ac")
     )
-    ab = pointed.select("a", "b", F.col("dirs").alias("ab"))
-    bc = pointed.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("dirs").alias("bc"))
-    ac = pointed.select("a", F.col("b").alias("c"), F.col("dirs").alias("ac"))
-    return ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c", "ab", "bc", "ac")
 
 
 def payment_cycles(e: DataFrame) -> DataFrame:

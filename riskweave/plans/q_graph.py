@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 
+from riskweave.operators import communities as C
 from riskweave.operators import graph as G
 from riskweave.operators.patterns import payment_chains
+from riskweave.operators.timecycles import time_cycles
 from riskweave.plans import parts as P
 from riskweave.plans import sqltext as S
 from riskweave.plans.registry import query
@@ -238,6 +240,21 @@ def g16(spark, d):
     return G.payment_cycles(_edges(spark, d))
 
 
+@query(
+    "g16_time_cycles",
+    """SELECT node, coalesce(started, 0)::BIGINT AS started, coalesce(passed, 0)::BIGINT AS passed FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)
+ LEFT JOIN (SELECT x AS node, count(*) AS started FROM tc GROUP BY x) USING (node)
+ LEFT JOIN (SELECT node, count(*) AS passed FROM (SELECT unnest([y, z]) AS node FROM tc) GROUP BY node) USING (node)""",
+    ctes=(
+        S.EDGES,
+        """tc AS (SELECT a.src AS x, b.src AS y, c.src AS z FROM e a JOIN e b ON b.src = a.dst AND b.us > a.us AND b.us <= a.us + 72 * 3600000000
+ JOIN e c ON c.src = b.dst AND c.dst = a.src AND c.us > b.us AND c.us <= a.us + 72 * 3600000000 WHERE a.src <> a.dst AND b.src <> b.dst AND c.src <> c.dst)""",
+    ),
+)
+def g16_in_time(spark, d):
+    return time_cycles(_edges(spark, d), 72)
+
+
 @query(
     "g17_triangle_counts",
     """SELECT node, coalesce(t, 0) AS triangles FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN
@@ -266,3 +283,61 @@ def _least_label_sql(rounds: int) -> str:
 def g17_components(spark, d):
     """Communities linked by payments; every account has one."""
     return G.components(_edges(spark, d))
+
+
+def _core_sql(rounds: int, least: int = 1) -> str:
+    """Core numbers as the fixed point of the h-index: from the partner count, each account takes the greatest h
+    such that h partners have a value of h or more, ``rounds`` times."""
+    out = [
+        S.EDGES,
+        "pl AS MATERIALIZED (SELECT a, b FROM (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION ALL SELECT dst, src FROM e WHERE src <> dst) "
+        f"GROUP BY a, b HAVING count(*) >= {least})",
+        "c0 AS MATERIALIZED (SELECT a AS node, count(*) AS core FROM pl GROUP BY a)",
+    ]
+    out += [
+        f"c{i} AS MATERIALIZED (SELECT a AS node, max(least(r, core)) AS core FROM (SELECT pl.a, p.core, row_number() OVER (PARTITION BY pl.a ORDER BY p.core DESC) AS r "
+        f"FROM pl JOIN c{i - 1} p ON pl.b = p.node) GROUP BY a)"
+        for i in range(1, rounds + 1)
+    ]
+    out.append(f"cores AS MATERIALIZED (SELECT node, coalesce(core, 0)::BIGINT AS core FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN c{rounds} USING (node))")
+    return ",\n".join(out)
+
+
+_CORE_ROUNDS = 40
+
+
+@query("g17_core_numbers", "SELECT node, core FROM cores", ctes=(_core_sql(_CORE_ROUNDS),))
+def g17_cores(spark, d):
+    return C.core_numbers(_edges(spark, d))
+
+
+_REPEATED = 4
+
+
+@query("g17_core_numbers_repeated", "SELECT node, core FROM cores", ctes=(_core_sql(_CORE_ROUNDS, _REPEATED),))
+def g17_repeated(spark, d):
+    """Partners with several payments only: a sparse graph with accounts in no core."""
+    return C.core_numbers(_edges(spark, d), _REPEATED)
+
+
+def _community_sql(k: int, rounds: int) -> str:
+    """Least label of the partners inside the core, ``rounds`` times."""
+    out = [
+        f"inner_l AS MATERIALIZED (SELECT pl.a, pl.b FROM pl JOIN cores x ON x.node = pl.a AND x.core >= {k} JOIN cores y ON y.node = pl.b AND y.core >= {k})",
+        f"k0 AS MATERIALIZED (SELECT node, node AS label FROM cores WHERE core >= {k})",
+    ]
+    out += [
+        f"k{i} AS MATERIALIZED (SELECT p.node, least(p.label, coalesce(min(q.label), p.label)) AS label FROM k{i - 1} p LEFT JOIN inner_l ON p.node = inner_l.a "
+        f"LEFT JOIN k{i - 1} q ON q.node = inner_l.b GROUP BY p.node, p.label)"
+        for i in range(1, rounds + 1)
+    ]
+    return ",\n".join(out)
+
+
+@query(
+    "g17_dense_communities",
+    "SELECT node, core, label AS community FROM cores JOIN k30 USING (node)",
+    ctes=(_core_sql(_CORE_ROUNDS, _REPEATED), _community_sql(2, 30)),
+)
+def g17_communities(spark, d):
+    return C.dense_communities(_edges(spark, d), 2, _REPEATED)
