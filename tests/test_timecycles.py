@@ -41,7 +41,7 @@ def found(df):
 def test_hub_busy_pair_and_ties(spark):
     rnd = random.Random(5)
     rows = []
-    for _ in range(700):
+    for _ in range(900):
         kind = rnd.random()
         if kind < 0.33:  # a hub takes part in a third of all payments
             src, dst = ("hub", f"n{rnd.randrange(12)}") if rnd.random() < 0.5 else (f"n{rnd.randrange(12)}", "hub")
