@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from riskweave.operators.sequences import behaviour_rows, sequences
@@ -11,6 +13,7 @@ from riskweave.plans.registry import query
 from riskweave.plans.views import tx
 from riskweave.runtime import cut
 from riskweave.scorers import behaviour, compliance, explanation, geo, meta, network, velocity
+from riskweave.scorers.attribution import TreeParts, tree_attributions
 from riskweave.settings import DEFAULTS
 
 # ---------------------------------------------------------------- velocity
@@ -327,7 +330,7 @@ def me8(spark, d):
 def _forest_attributions(spark, d):
     """Of every row, by the default model."""
     table, model = _fitted(spark, d)
-    return table, model, meta.attributions(table, _FIVE, model.transform, meta.feature_means(table, _FIVE))
+    return table, model, meta.member_attributions(table, model)
 
 
 @query("me8_attributions_forest")
@@ -335,6 +338,107 @@ def me8_forest(spark, d):
     return _forest_attributions(spark, d)[2]
 
 
+@query("me8_attributions_add_up", "SELECT transaction_id, true AS adds_up FROM tx")
+def me8_add_up(spark, d):
+    """Parts of every row against the fitted forest's own score, less the baseline."""
+    table, model, phi = _forest_attributions(spark, d)
+    total = sum((F.col(f"phi_{c}") for c in _FIVE), F.col("baseline"))
+    value = meta.member_value(table, model).select("transaction_id", "member_value")
+    return phi.join(value, "transaction_id").select("transaction_id", (F.abs(total - F.col("member_value")) < 1e-9).alias("adds_up"))
+
+
+# A small forest (feature, threshold, training rows left and right of it, left and right branch) that SQL can follow.
+_TREES = (
+    ("geo_risk_score", 0.3137, 70, ("kyc_aml_score", 0.1231, 40, 0.02, ("behaviour_score", 0.6203, 20, 0.21, 0.47, 10), 30),
+     ("velocity_score", 0.2513, 20, 0.55, ("kyc_aml_score", 0.3391, 4, 0.71, 0.97, 6), 10), 30),
+    ("behaviour_score", 0.5517, 55, ("graph_score", 0.2711, 33, 0.05, 0.33, 22), ("behaviour_score", 0.8019, 30, ("geo_risk_score", 0.1013, 12, 0.4, 0.62, 18), 0.9, 15), 45),
+    ("kyc_aml_score", 0.2117, 80, ("graph_score", 0.3019, 50, ("geo_risk_score", 0.5011, 35, 0.1, 0.2, 15), 0.3, 30), 0.8, 20),
+)
+
+
+def _tree_nodes() -> list[dict]:
+    out = []
+
+    def add(tree: int, node, cover: float) -> int:
+        row = {"tree": tree, "id": len(out), "left": -1, "right": -1, "feature": -1, "threshold": None, "cover": float(cover), "value": 0.0}
+        out.append(row)
+        if isinstance(node, tuple):
+            name, at, n_left, left, right, n_right = node
+            row.update(feature=_FIVE.index(name), threshold=at, left=add(tree, left, n_left), right=add(tree, right, n_right))
+        else:
+            row["value"] = node / len(_TREES)
+        return row["id"]
+
+    for k, tree in enumerate(_TREES):
+        add(k, tree, tree[2] + tree[5])
+    return out
+
+
+def _known_value(node, known: frozenset[str]) -> str:
+    """SQL for the mean leaf value when only the features in ``known`` are."""
+    if not isinstance(node, tuple):
+        return f"{node!r}::DOUBLE"
+    name, at, n_left, left, right, n_right = node
+    one, other = _known_value(left, known), _known_value(right, known)
+    if name in known:
+        return f"(CASE WHEN {name} <= {at!r}::DOUBLE THEN {one} ELSE {other} END)"
+    return f"(({n_left} * {one} + {n_right} * {other}) / {n_left + n_right})"
+
+
+def _subset_sql() -> str:
+    """Shapley values by all subsets of the five features."""
+    size = len(_FIVE)
+    sets = [frozenset(c for i, c in enumerate(_FIVE) if m >> i & 1) for m in range(1 << size)]
+    value = ", ".join(f"({' + '.join(_known_value(t, s) for t in _TREES)}) / {len(_TREES)} AS v{m}" for m, s in enumerate(sets))
+    parts = []
+    for i, c in enumerate(_FIVE):
+        terms = [
+            f"{math.factorial(len(s)) * math.factorial(size - len(s) - 1) / math.factorial(size)!r}::DOUBLE * (v{m | 1 << i} - v{m})"
+            for m, s in enumerate(sets)
+            if not m >> i & 1
+        ]
+        parts.append(f"round({' + '.join(terms)}, 9) + 0.0 AS phi_{c}")
+    return (
+        f"vs AS (SELECT transaction_id, {value} FROM wide),\n"
+        f"phis AS (SELECT transaction_id, {', '.join(parts)}, round(v0, 9) AS baseline FROM vs)"
+    )
+
+
+def _tree_phi(spark, d):
+    parts = TreeParts.of(_tree_nodes(), len(_FIVE))
+    phi = tree_attributions(P.wide(spark, d), _FIVE, parts)
+    return phi.select("transaction_id", *[(F.round(c, 9) + 0.0).alias(c) for c in phi.columns[1:]])
+
+
+@query(
+    "me8_attributions_trees",
+    "SELECT transaction_id, " + ", ".join(f"round(phi_{c}, 8) + 0.0 AS phi_{c}" for c in _FIVE) + ", round(baseline, 8) AS baseline FROM phis",
+    views=("tx", "ac"),
+    ctes=(*S.WIDE_ALL, _subset_sql()),
+)
+def me8_trees(spark, d):
+    """Path attributions of a fixed forest; the SQL goes through all subsets."""
+    phi = _tree_phi(spark, d)
+    return phi.select("transaction_id", *[(F.round(c, 8) + 0.0).alias(c) for c in phi.columns[1:]])
+
+
+_REASON_SQL = "list_transform(list_sort(list_filter([" + ", ".join(
+    f"{{'neg': -phi_{c}, 'name': '{c.removesuffix('_score')}'}}" for c in _FIVE
+) + "], lambda x: x.neg < 0))[1:3], lambda x: x.name)"
+
+
+@query(
+    "ex3_tree_reasons",
+    f"SELECT transaction_id, array_to_string({_REASON_SQL}, ',') AS reasons FROM phis",
+    views=("tx", "ac"),
+    ctes=(*S.WIDE_ALL, _subset_sql()),
+)
+def ex3_trees(spark, d):
+    """Names of the largest positive parts of every row."""
+    top = meta.top_reasons(_tree_phi(spark, d), _FIVE)
+    return top.select("transaction_id", F.array_join("attribution_reasons", ",").alias("reasons"))
+
+
 @query(
     "me9_feature_matrix",
     "SELECT transaction_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FIVE) + " FROM wide",

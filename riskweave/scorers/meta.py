@@ -27,6 +27,7 @@ from riskweave.functions.scalars import clip01, number, words
 from riskweave.operators.alerts import build_alerts, empty_alerts, has_columns, pivot_scores
 from riskweave.operators.ranking import global_rank
 from riskweave.runtime import cut
+from riskweave.scorers.attribution import TreeParts, model_nodes, tree_attributions
 from riskweave.settings import alert_threshold, resolve
 
 AGENT = "meta_learner"
@@ -289,6 +290,32 @@ def attributions(
     )
 
 
+def member_attributions(df: DataFrame, model: MetaModel) -> DataFrame:
+    """Parts of the first member's score before calibration: transaction_id, ``phi_<column>`` and baseline.
+
+    Without members, the parts of the average against the feature means.
+    """
+    rows = feature_matrix(df, model.columns)
+    if not model.members:
+        means = feature_means(rows, model.columns)
+        base = sum(means.values()) / max(len(means), 1)
+        return attributions(rows, model.columns, model.transform, means).withColumn("baseline", F.lit(float(base)))
+    parts = TreeParts.of(model_nodes(df.sparkSession, model.members[0][0]), len(model.columns))
+    return tree_attributions(rows, model.columns, parts)
+
+
+def member_value(df: DataFrame, model: MetaModel, out: str = "member_value") -> DataFrame:
+    """Add what ``member_attributions`` explain: the first member's probability, a boosted member's margin, or the average."""
+    if not model.members:
+        return df.withColumn(out, average(model.columns))
+    member = model.members[0][0]
+    frame = _raw(member, VectorAssembler(inputCols=model.columns, outputCol="_x").transform(df), "_p")
+    p = F.col("_p")
+    # A boosted margin m gives the probability 1 / (1 + exp(-2 m)).
+    value = F.log(p / (1 - p)) / 2 if isinstance(member, GBTClassificationModel) else p
+    return frame.select(*df.columns, value.alias(out))
+
+
 def feature_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first().asDict()
 
