@@ -111,6 +111,19 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return key
 
 
+def _released(run):
+    """``run`` as a task that leaves no tables and unused memory behind in its worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _roll.cache_clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 _SIGNATURE = "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"
 
 
@@ -184,7 +197,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n, component) per row of ``docs`` (unique id, text)."""
-    marks = stored(docs.mapInArrow(_signatures(shingle), _SIGNATURE), "minhash")
+    marks = stored(docs.mapInArrow(_released(_signatures(shingle)), _SIGNATURE), "minhash")
     filled = marks.filter("n > 0")
     classes = stored(
         filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "minhash-classes"
@@ -195,7 +208,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     # Band keys of one class only, most of them, end here.
     members = stored(keys.join(shared.select("key", "hub"), "key"), "minhash-members")
     wanted = docs.join(members.select("id").distinct(), "id", "left_semi")
-    sets = stored(wanted.mapInArrow(_sets(shingle), "id bigint, n bigint, shingles array<bigint>, bits array<bigint>, bands array<bigint>"), "minhash-sets")
+    sets = stored(wanted.mapInArrow(_released(_sets(shingle)), "id bigint, n bigint, shingles array<bigint>, bits array<bigint>, bands array<bigint>"), "minhash-sets")
     bits = sets.select("id", "n", "bits")
 
     def side(name: str) -> DataFrame:

@@ -299,15 +299,23 @@ class Drawn:
     """Ids of words under a draw for every occurrence, worked out once for each (word, set of skipped steps).
 
     These are the nodes of a tree per word: a node knows how many steps its run
-    takes, and a further skip before the run's end leads to a child. At ``limit`` words or
-    ``nodes`` nodes the memory starts afresh, so it stays bounded; longer words are not kept.
+    takes, and a further skip before the run's end leads to a child. At ``limit`` bytes the memory starts
+    afresh, and a task empties it when it ends, so an idle worker holds none; longer words are not kept.
     """
 
-    def __init__(self, segmenter: Segmenter, limit: int = 700_000, nodes: int = 2_000_000):
-        self.segmenter, self.limit, self.nodes = segmenter, limit, nodes
-        self._reset()
+    #: Bytes of a word in the table of words: its text, its number and its places in a list and a dictionary.
+    WORD_BYTES = 160
 
-    def _reset(self) -> None:
+    def __init__(self, segmenter: Segmenter, limit: int = 256 << 20):
+        self.segmenter, self.limit = segmenter, limit
+        self.reset()
+
+    def held(self) -> int:
+        """Bytes of all that is remembered, about."""
+        arrays = (self.root, self.word, self.mask, self.start, self.length, self.steps, self.first, self.child, self.flat)
+        return sum(a.nbytes for a in arrays) + self.WORD_BYTES * len(self.numbers)
+
+    def reset(self) -> None:
         self.numbers, self.words = Numbered(), []
         self.root = np.full(1 << 12, -1, np.int32)
         self.word, self.mask = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.uint64)
@@ -334,8 +342,8 @@ class Drawn:
 
     def ids(self, words: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, ids per word)."""
-        if len(self.numbers) > self.limit or self.filled > self.nodes:
-            self._reset()
+        if self.held() > self.limit:
+            self.reset()
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if len(self.words) < len(self.numbers):
             fresh = np.arange(len(self.words), len(self.numbers))
@@ -393,6 +401,13 @@ def words_of(text: str) -> list[str]:
 def _encode(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = _worker(path, dropout, seed)
+        try:
+            yield from encoded(batches, memo)
+        finally:
+            memo.reset()
+            pa.default_memory_pool().release_unused()
+
+    def encoded(batches: Iterator[pa.RecordBatch], memo: Drawn) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words: list[str] = []
             counts, sums = [], []
