@@ -226,6 +226,18 @@ def be4(spark, d):
     return P.rounded(behaviour.score(t, behaviour.fit(t)).drop("timestamp"), "risk_score")
 
 
+@query(
+    "be4_sequence_windows",
+    """SELECT transaction_id, row_number() OVER (PARTITION BY sender_account_id ORDER BY txn_ts DESC, transaction_id DESC) <= 16 AS in_window, true AS same_again FROM tx""",
+)
+def be4_windows(spark, d):
+    """Which rows the fitted unit scores, and whether a refit gives every row the same score."""
+    t = tx(spark, d)
+    one, other = (behaviour.score(t, behaviour.fit(t)).select("transaction_id", F.col("risk_score").alias(c)) for c in ("a", "b"))
+    both = one.join(other, "transaction_id")
+    return both.select("transaction_id", (F.col("a") > 0).alias("in_window"), (F.col("a") == F.col("b")).alias("same_again"))
+
+
 @query(
     "be5_without_account_column",
     "SELECT transaction_id, round(risk_score, 6) AS risk_score, 'BEHAVIOUR_HEURISTIC' AS reason_code FROM beh",

@@ -15,7 +15,8 @@ from riskweave.functions import dims
 from riskweave.functions.scalars import account_column, amount_column, amount_of, words
 from riskweave.operators.alerts import build_alerts, empty_alerts, has_columns
 from riskweave.operators.sequences import behaviour_rows, normalisation, sequences
-from riskweave.runtime import cut
+from riskweave.runtime import cut, partitions
+from riskweave.scorers.recurrent import GatedUnit, scored, train
 from riskweave.settings import alert_threshold, resolve
 
 AGENT = "behaviour"
@@ -61,7 +62,11 @@ def _one_hot(col: Column, size: int) -> Column:
     return F.array(*[(col == i).cast("double") for i in range(size + 1)])
 
 
-def sequence_vectors(seq: DataFrame) -> DataFrame:
+#: Numbers of a step: one for each category and for none, and the amount and the time.
+STEP_WIDTH = len(dims.TRANSACTION_TYPES) + 1 + len(dims.CHANNELS) + 1 + 2
+
+
+def sequence_arrays(seq: DataFrame) -> DataFrame:
     """Flatten the steps: one-hot categories and the two numbers of each step."""
     step = F.transform(
         "steps",
@@ -71,19 +76,28 @@ def sequence_vectors(seq: DataFrame) -> DataFrame:
             F.array(s["amount_norm"], s["time_norm"]),
         ),
     )
-    return seq.select("account", "ids", "label", array_to_vector(F.flatten(step)).alias("features"))
+    return seq.select("account", "ids", "label", F.flatten(step).alias("features"))
+
+
+def sequence_vectors(seq: DataFrame) -> DataFrame:
+    return sequence_arrays(seq).withColumn("features", array_to_vector("features"))
 
 
 @dataclass
 class SequenceModel:
-    """Fitted network, normalisation and sequence length."""
+    """Fitted network (recurrent or feed-forward), normalisation and sequence length."""
 
-    network: MultilayerPerceptronClassificationModel
+    network: GatedUnit | MultilayerPerceptronClassificationModel
     stats: dict[str, float]
     length: int
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.network.write().overwrite().save(f"{path}/network")
+        recurrent = isinstance(self.network, GatedUnit)
+        if recurrent:
+            self.network.save(spark, f"{path}/unit")
+        else:
+            self.network.write().overwrite().save(f"{path}/network")
+        spark.createDataFrame([(recurrent,)], "recurrent boolean").write.parquet(f"{path}/kind")
         row = {**self.stats, "length": self.length}
         schema = ", ".join(f"{k} double" for k in UNIT_STATS) + ", length int"
         spark.createDataFrame([tuple(row.values())], schema).write.parquet(f"{path}/stats")
@@ -92,14 +106,16 @@ class SequenceModel:
     def load(cls, spark: SparkSession, path: str) -> SequenceModel:
         row = spark.read.parquet(f"{path}/stats").first().asDict()
         length = row.pop("length")
+        if spark.read.parquet(f"{path}/kind").first()["recurrent"]:
+            return cls(GatedUnit.load(spark, f"{path}/unit"), row, length)
         return cls(MultilayerPerceptronClassificationModel.load(f"{path}/network"), row, length)
 
 
 def fit(tx: DataFrame, settings: Mapping | None = None) -> SequenceModel | None:
     """Sequence classifier over account windows; None without two classes.
 
-    The recurrent cell is replaced by a feed-forward network over the
-    flattened window, which Spark ML trains across executors.
+    A gated recurrent unit for ``behaviour_model_type='gru'``, else a feed-forward
+    network over the flattened window. Both train across executors.
     """
     cfg = resolve(settings)
     if account_column(tx, "sender") is None or "is_fraud" not in tx.columns:
@@ -107,22 +123,33 @@ def fit(tx: DataFrame, settings: Mapping | None = None) -> SequenceModel | None:
     stats = fit_stats(tx, settings)
     stats = {k: stats[k] for k in UNIT_STATS}
     length = int(cfg["behaviour_seq_len"])
-    train = cut(sequence_vectors(sequences(behaviour_rows(tx), stats, length)).drop("ids"))
-    train = train.withColumn("label", (F.col("label") > 0).cast("double"))
-    if train.select("label").distinct().count() < 2:
+    windows = sequence_arrays(sequences(behaviour_rows(tx), stats, length)).drop("ids")
+    # By account in a fixed order: a refit adds up the same windows in the same tasks.
+    dealt = windows.repartition(partitions(tx.sparkSession), "account").sortWithinPartitions("account")
+    rows = cut(dealt.withColumn("label", (F.col("label") > 0).cast("double")))
+    n, positive = rows.agg(F.count("*"), F.sum("label")).first()
+    if not n or not 0 < positive < n:
         return None
-    width = length * (len(dims.TRANSACTION_TYPES) + 1 + len(dims.CHANNELS) + 1 + 2)
+    if str(cfg["behaviour_model_type"]).lower() == "gru":
+        unit, _ = train(
+            rows, STEP_WIDTH, length, int(cfg["behaviour_hidden_dim"]), int(cfg["behaviour_max_iter"]),
+            float(cfg["behaviour_learning_rate"]), int(cfg["random_seed"]), 0.5 * (n - positive) / positive, n,
+        )
+        return SequenceModel(unit, stats, length)
     network = MultilayerPerceptronClassifier(
-        layers=[width, int(cfg["behaviour_hidden_dim"]), 2],
+        layers=[length * STEP_WIDTH, int(cfg["behaviour_hidden_dim"]), 2],
         maxIter=int(cfg["behaviour_max_iter"]),
         seed=int(cfg["random_seed"]),
-    ).fit(train)
+    ).fit(rows.withColumn("features", array_to_vector("features")))
     return SequenceModel(network, stats, length)
 
 
 def sequence_scores(tx: DataFrame, model: SequenceModel) -> DataFrame:
     """(account, ids, seq_score), one row per account."""
-    seq = sequence_vectors(sequences(behaviour_rows(tx), model.stats, model.length))
+    seq = sequences(behaviour_rows(tx), model.stats, model.length)
+    if isinstance(model.network, GatedUnit):
+        return scored(sequence_arrays(seq), model.network, model.length)
+    seq = sequence_vectors(seq)
     return model.network.transform(seq).select(
         "account", "ids", vector_to_array("probability")[1].alias("seq_score")
     )

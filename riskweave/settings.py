@@ -32,6 +32,8 @@ DEFAULTS: dict[str, Any] = {
     "behaviour_seq_len": 16,
     "behaviour_hidden_dim": 64,
     "behaviour_model_type": "gru",
+    "behaviour_max_iter": 60,
+    "behaviour_learning_rate": 0.01,
     "graph_alert_threshold": 0.65,
     "graph_model_type": "graphsage",
     "meta_learner_alert_threshold": 0.5,
@@ -46,14 +48,12 @@ DEFAULTS: dict[str, Any] = {
     "explanation_alert_threshold": 0.5,
 }
 
-# Engine knobs that have no effect on results.
+# Depth of meta forests when the caller sets none; tree depth is what bounds the passes over the training data.
+DEFAULTS.update({"meta_learner_max_depth": None, "meta_learner_default_max_depth": 10})
+
+# Engine knobs: how rows are dealt. dense_key_rows also changes the last digits of rolling sums.
 DEFAULTS.update(
     {
-        # Depth of meta forests when the caller sets none; tree depth is what
-        # bounds the passes over the training data.
-        "meta_learner_max_depth": None,
-        "meta_learner_default_max_depth": 10,
-        "behaviour_max_iter": 60,
         # Keys with more rows than this leave the sliding range frames, whose
         # cost per row grows with the frame, for the linear prefix sums.
         "dense_key_rows": 4_000,
