@@ -80,8 +80,8 @@ def distinct_edges(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").distinct()
 
 
-def laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> DataFrame:
-    """Edges stored by (src, _part), so that no round shuffles them again.
+def laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Edges, with ``extra`` columns, stored by (src, _part), so that no round shuffles them again.
 
     Sources with many edges get several parts. The list of such sources has
     at most edges / rows_per_task entries, so it can be broadcast.
@@ -91,7 +91,7 @@ def laid_out_edges(de: DataFrame, degree: DataFrame, rows_per_task: int) -> Data
     )
     joined = de.join(F.broadcast(hubs), "src", "left")
     part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_parts")), F.lit(0)).cast("int")
-    laid = joined.select("src", "dst", part.alias("_part")).repartition(partitions(de.sparkSession), "src", "_part")
+    laid = joined.select("src", "dst", *extra, part.alias("_part")).repartition(partitions(de.sparkSession), "src", "_part")
     return cut(laid.sortWithinPartitions("src", "_part"), keep_layout=True)
 
 

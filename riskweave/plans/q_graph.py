@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from riskweave.operators import communities as C
 from riskweave.operators import graph as G
 from riskweave.operators.patterns import payment_chains
+from riskweave.operators.ranking import temporal_split
 from riskweave.operators.timecycles import time_cycles
 from riskweave.plans import parts as P
 from riskweave.plans import sqltext as S
 from riskweave.plans.registry import query
 from riskweave.plans.views import tx, tx_dirty
 from riskweave.runtime import cut
-from riskweave.scorers import network
+from riskweave.scorers import layers, network
 from riskweave.settings import DEFAULTS
 
 _N = (S.EDGES, S.NODES)
@@ -198,6 +200,20 @@ def g12_model(spark, d):
     return P.rounded(network.score(t, scores).drop("timestamp"), "risk_score")
 
 
+@query(
+    "g12_trained_layers",
+    "SELECT node, true AS in_range, true AS loss_fell FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)",
+    ctes=(S.EDGES,),
+)
+def g12_layers(spark, d):
+    """Fitted on the earlier four fifths of the payments, scores of the accounts of all."""
+    t = tx(spark, d)
+    earlier = temporal_split(t, "txn_ts", "transaction_id").filter("is_train = 1").drop("is_train")
+    model = layers.fit_layers(earlier, {"graph_max_iter": 12})
+    fell = model.losses[-1] < model.losses[0]
+    return layers.layer_scores(t, model).select("node", F.col("node_score").between(0.0, 1.0).alias("in_range"), F.lit(fell).alias("loss_fell"))
+
+
 @query("g13_weighted_classifier")
 def g13_model(spark, d):
     t = tx(spark, d)

@@ -36,6 +36,9 @@ DEFAULTS: dict[str, Any] = {
     "behaviour_learning_rate": 0.01,
     "graph_alert_threshold": 0.65,
     "graph_model_type": "graphsage",
+    "graph_hidden_dim": 16,
+    "graph_max_iter": 30,
+    "graph_learning_rate": 0.02,
     "meta_learner_alert_threshold": 0.5,
     "meta_learner_model_type": "random_forest",
     "meta_learner_n_estimators": 200,
