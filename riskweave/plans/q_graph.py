@@ -14,7 +14,7 @@ from riskweave.plans import sqltext as S
 from riskweave.plans.registry import query
 from riskweave.plans.views import tx, tx_dirty
 from riskweave.runtime import cut
-from riskweave.scorers import layers, network
+from riskweave.scorers import attention, layers, network
 from riskweave.settings import DEFAULTS
 
 _N = (S.EDGES, S.NODES)
@@ -214,6 +214,40 @@ def g12_layers(spark, d):
     return layers.layer_scores(t, model).select("node", F.col("node_score").between(0.0, 1.0).alias("in_range"), F.lit(fell).alias("loss_fell"))
 
 
+def _attention(spark, d):
+    """(payments, layer fitted on the earlier four fifths of them)."""
+    t = tx(spark, d)
+    earlier = temporal_split(t, "txn_ts", "transaction_id").filter("is_train = 1").drop("is_train")
+    return t, attention.fit_attention(earlier, {"graph_max_iter": 8})
+
+
+@query(
+    "g13_attention_weights",
+    "SELECT dst AS payee, count(DISTINCT src) AS payers, 1.0::DOUBLE AS head_0, 1.0::DOUBLE AS head_1, 1.0::DOUBLE AS head_2, 1.0::DOUBLE AS head_3, true AS positive FROM e GROUP BY dst",
+    ctes=(S.EDGES,),
+)
+def g13_weights(spark, d):
+    """Per payee: its payers, and the sum of their weights in each head."""
+    t, model = _attention(spark, d)
+    heads = [f"head_{k}" for k in range(model.net.heads)]
+    sums = attention.attention_weights(t, model).groupBy("payee").agg(
+        F.count("*").alias("payers"), *[F.round(F.sum(h), 9).alias(h) for h in heads], (F.min(F.least(*heads)) >= 0).alias("positive")
+    )
+    return sums
+
+
+@query(
+    "g13_attention_scores",
+    "SELECT node, true AS in_range, true AS loss_fell FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)",
+    ctes=(S.EDGES,),
+)
+def g13_attention(spark, d):
+    """Fitted on the earlier four fifths of the payments, scores of the accounts of all."""
+    t, model = _attention(spark, d)
+    fell = model.losses[-1] < model.losses[0]
+    return attention.attention_scores(t, model).select("node", F.col("node_score").between(0.0, 1.0).alias("in_range"), F.lit(fell).alias("loss_fell"))
+
+
 @query("g13_weighted_classifier")
 def g13_model(spark, d):
     t = tx(spark, d)

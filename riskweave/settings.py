@@ -37,6 +37,7 @@ DEFAULTS: dict[str, Any] = {
     "graph_alert_threshold": 0.65,
     "graph_model_type": "graphsage",
     "graph_hidden_dim": 16,
+    "graph_heads": 4,
     "graph_max_iter": 30,
     "graph_learning_rate": 0.02,
     "meta_learner_alert_threshold": 0.5,
