@@ -80,16 +80,74 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", grou
     return running(df, order, {name: F.lit(1).cast("bigint")}, group)
 
 
+# Rows of a boundary cell that are ranked without narrowing it further, and the sketch's resolution.
+_CELL_ROWS = 1_000_000
+_RESOLUTION = 10_000
+
+
+def _number(df: DataFrame, value: str) -> Column:
+    """The value as a number in the same order; times as microseconds."""
+    kind = df.schema[value].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(value).cast("timestamp"))
+    return F.unix_date(value) if kind == "date" else F.col(value)
+
+
+def first_rows(df: DataFrame, value: str, tie: str, k: int, descending: bool = False, cell_rows: int = _CELL_ROWS) -> Column:
+    """Condition that holds for exactly the first ``k`` rows by ``value``, then ``tie``; nulls last, NaN above all numbers.
+
+    The table is not sorted. A quantile sketch proposes a range around position ``k``, exact counts
+    before and within it confirm the proposal, and the range narrows while it holds more than
+    ``cell_rows`` rows and two values. Only the rows of the last range are ranked. ``df`` is read
+    several times, so it should be stored; ``tie`` must be unique.
+    """
+    v, t = F.col("_v"), F.col("_t")
+    slim = df.select(_number(df, value).alias("_v"), F.col(tie).alias("_t"))
+    n, known = slim.agg(F.count("*"), F.count("_v")).first()
+    if k <= 0:
+        return F.lit(False)
+    if k >= n:
+        return F.lit(True)
+    here = _number(df, value)
+    if k == known:
+        return here.isNotNull()
+    if k > known:
+        cell, size, before = slim.filter(v.isNull()), n - known, known
+    else:
+        cell, size, before = slim.filter(v.isNotNull()), known, 0
+        while size > cell_rows:
+            at = (k - before) / size
+            at, margin = (1 - at if descending else at), 2.0 / _RESOLUTION
+            found = cell.agg(F.percentile_approx("_v", [max(0.0, at - margin), min(1.0, at + margin)], _RESOLUTION).alias("q")).first()["q"]
+            low, high = (F.lit(x).cast(cell.schema["_v"].dataType) for x in found)
+            # coalesce keeps the filter away from column statistics, which leave NaN out.
+            inside = F.coalesce((v >= low) & (v <= high), F.lit(False))
+            ahead, within = cell.agg(F.count_if((v > high) if descending else (v < low)), F.count_if(inside)).first()
+            if not ahead < k - before <= ahead + within or within == size:
+                break  # No narrower range is certain: the rest is ranked as it is.
+            cell, size, before = cell.filter(inside), within, before + ahead
+            if found[0] == found[1]:
+                break
+    order = [v.desc_nulls_last() if descending else v.asc_nulls_last(), t]
+    edge = global_rank(cell, order, "_rank").filter(F.col("_rank") == k - before).first()
+    last = F.lit(edge["_t"]).cast(slim.schema["_t"].dataType)
+    if k > known:
+        return here.isNotNull() | (F.col(tie) <= last)
+    bound = F.lit(edge["_v"]).cast(slim.schema["_v"].dataType)
+    ahead = here > bound if descending else here < bound
+    return F.coalesce(ahead | ((here == bound) & (F.col(tie) <= last)), F.lit(False))
+
+
 def temporal_split(df: DataFrame, ts: str, tie: str, fraction: float = 0.8) -> DataFrame:
-    """Add ``is_train``: the first ``floor(n * fraction)`` rows in time order."""
-    ranked = global_rank(df, [F.col(ts).asc_nulls_last(), F.col(tie)], "_rank")
-    cutoff = int(df.count() * fraction)
-    return ranked.withColumn("is_train", (F.col("_rank") <= cutoff).cast("int")).drop("_rank")
+    """Add ``is_train``: the first ``floor(n * fraction)`` rows in time order, null times last."""
+    df = cut(df)
+    return df.withColumn("is_train", first_rows(df, ts, tie, int(df.count() * fraction)).cast("int"))
 
 
 def top_fraction(df: DataFrame, score: str, tie: str, fraction: float) -> DataFrame:
-    """The k = max(1, min(n, ceil(n * fraction))) rows with the highest score."""
+    """The k = max(1, min(n, ceil(n * fraction))) rows with the highest score, ranked; only they are sorted."""
+    df = cut(df)
     n = df.count()
     k = max(1, min(n, -int(-n * fraction // 1)))
-    ranked = global_rank(df, [F.col(score).desc(), F.col(tie)], "rank")
-    return ranked.filter(F.col("rank") <= k)
+    kept = df.filter(first_rows(df, score, tie, k, descending=True))
+    return global_rank(kept, [F.col(score).desc(), F.col(tie)], "rank")

@@ -157,7 +157,7 @@ class _Graph:
 def _laid_out(e: DataFrame, columns: Sequence[str], settings: Mapping | None, stats):
     spark, rows = e.sparkSession, int(resolve(settings)["hot_key_rows"])
     paid = cut(G.pair_weights(e, F.greatest(F.coalesce(F.nanvl("amount", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))))
-    matrix = cut(node_matrix(e, settings))
+    matrix = cut(node_matrix(e, settings) if "pagerank" in columns else G.node_features(e))
     if stats is None:
         found = matrix.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
         stats = tuple(np.array([v or d for v in part]) for d, part in ((0.0, found[: len(columns)]), (1.0, found[len(columns) :])))
