@@ -213,6 +213,12 @@ def test_pii_redacts(odd, none):
     assert pii.digest(none).count() == 0 and pii.redact(none).count() == 0
 
 
+def test_pii_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org", 5, "x", 7), (2, None, None, "y", 8)], "doc_id long, text string, _base int, _spans string, _candidates int")
+    got = {r.doc_id: tuple(r) for r in pii.redact(docs).collect()}
+    assert got == {1: (1, "mail <EMAIL>", 5, "x", 7), 2: (2, None, None, "y", 8)}
+
+
 def test_pii_adds_what_the_formats_miss(spark):
     forms = [
         "write to jane{i} (at) example (dot) com today", "call 055 {n} now", "no. {n}{n} of the list", "mail bob{i}@example.org or +1 (988) 555-{i}",
