@@ -79,7 +79,7 @@ def auc(rows):
 
 def test_learned_weights_beat_money_on_other_payments(spark, tmp_path):
     train, later = payments(spark, 2), payments(spark, 3)
-    settings = {"graph_max_iter": 12, "graph_learning_rate": 0.25, "graph_hidden_dim": 8}
+    settings = {"graph_max_iter": 15, "graph_learning_rate": 0.08}
     truth = G.node_features(G.edges(later)).filter("node LIKE 'm%'").select("node", "label")
     found = {}
     for learned in (True, False):
