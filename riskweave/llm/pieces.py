@@ -16,9 +16,9 @@ out once per task memory for each set of skipped steps that is drawn. Characters
 mark, become byte pieces, so decoding returns every text exactly.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text;
-a null doc_id counts as 0 for the draws; rows equal in doc_id, text and ``copy`` (an
-optional column that numbers the copies of a document) get equal ids; other extra
-columns are ignored.
+a null doc_id counts as 0 for the draws; rows equal in doc_id, text and copy number
+(a whole-number column the caller names with ``copy``; without it all count 0) get
+equal ids; extra columns are ignored, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -448,15 +448,17 @@ def _decoded(segmenter: Segmenter, lists: pa.ListArray) -> tuple[np.ndarray, np.
     return data[keep], bounds - np.concatenate([[0], np.cumsum(filled)])
 
 
-def _slim(docs: DataFrame) -> DataFrame:
-    number = F.col("copy").cast("bigint") if "copy" in docs.columns else F.lit(0).cast("bigint")
+def _slim(docs: DataFrame, copy: str | None) -> DataFrame:
+    number = F.lit(0).cast("bigint") if copy is None else F.col(copy).cast("bigint")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(docs).alias("text"), number.alias("copy"))
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, ids) of all rows."""
+def encode(
+    docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, copy: str | None = None
+) -> DataFrame:
+    """(doc_id, text, ids) of all rows; ``copy`` names the column that numbers the copies of a document."""
     run = _encode(model or default_model(), dropout, seed)
-    return _slim(docs).mapInArrow(run, "doc_id bigint, text string, ids array<int>")
+    return _slim(docs, copy).mapInArrow(run, "doc_id bigint, text string, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
@@ -473,7 +475,7 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, copy: str | None = None) -> DataFrame:
     """Ids of all rows and what decoding them again gives: equal to the text or not."""
     path, dropout, seed = default_model(), DROPOUT, SEED
     encode_batches = _encode(path, dropout, seed)
@@ -496,4 +498,4 @@ def digest(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_crc32", "lossless", "ids"],
             )
 
-    return _slim(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean, ids array<int>")
+    return _slim(docs, copy).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, lossless boolean, ids array<int>")

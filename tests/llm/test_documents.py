@@ -351,7 +351,13 @@ def test_every_occurrence_has_a_draw_of_its_own(spark):
     # Over a corpus a word has more ways than any fixed number of variants, and copies differ.
     assert len({tuple(r.ids) for r in pieces.encode(docs).collect()}) == 30
     copies = docs.filter("doc_id = 1").crossJoin(spark.range(3).toDF("copy"))
-    assert len({tuple(r.ids) for r in pieces.encode(copies).collect()}) == 3
+    assert len({tuple(r.ids) for r in pieces.encode(copies, copy="copy").collect()}) == 3
+
+
+def test_a_text_column_named_copy_is_ignored(spark):
+    docs = spark.createDataFrame([(1, "some words", "left"), (2, None, None)], "doc_id long, text string, copy string")
+    assert sorted((r.doc_id, r.lossless) for r in pieces.digest(docs).collect()) == [(1, True), (2, True)]
+    assert sorted(map(tuple, pieces.encode(docs).collect())) == sorted(map(tuple, pieces.encode(docs.drop("copy")).collect()))
 
 
 def test_mix_numbers_its_copies(odd):
