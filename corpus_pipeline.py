@@ -2,9 +2,10 @@
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``; the mix adds ``copy``, so that
-repeats of a document are encoded by draws of their own. ``n_chars`` follows the text where
-a stage changes it.
+All but the last return the columns of ``documents``; the mix adds ``mix_copy``, so that
+repeats of a document are encoded by draws of their own (with as many ``_`` behind it as
+keep it apart from columns that ``documents`` has). ``n_chars`` follows the text where a
+stage changes it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from riskweave.llm import minhash, mixing, pieces, pii, quality
 from riskweave.llm.common import table
 from riskweave.runtime import materialise
 
+
+def _copy_column(columns: list[str]) -> str:
+    """The longest of ``mix_copy``, ``mix_copy_``, ... that is there without a gap before it; empty if none is."""
+    names, found = {c.lower() for c in columns}, ""
+    while (found + "_" if found else "mix_copy") in names:
+        found = found + "_" if found else "mix_copy"
+    return found
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the n-gram model."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
@@ -33,12 +43,13 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: whole, up to three times, the last time as a part."""
-    return mixing.apply(docs, copy="copy")
+    taken = _copy_column(docs.columns)
+    return mixing.apply(docs, copy=taken + "_" if taken else "mix_copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with merge-dropout, and whether they decode to its text."""
-    return pieces.digest(docs)
+    return pieces.digest(docs, copy=_copy_column(docs.columns) or None)
 
 
 STAGES = [
