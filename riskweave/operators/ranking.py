@@ -32,17 +32,20 @@ def running(
     sums: Mapping[str, Column],
     group: Sequence[str] = (),
     previous_max: Mapping[str, Column] | None = None,
+    after: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add running sums (current row included) and maxima of the rows before.
 
+    ``after`` are sums from the current row to the end of its group.
     ``order`` must be total within a group; group columns must not be null.
     """
-    previous_max = previous_max or {}
+    previous_max, after = previous_max or {}, after or {}
     group = list(group)
     named = df.select(
         "*",
         *[c.alias(f"_v_{n}") for n, c in sums.items()],
         *[c.alias(f"_m_{n}") for n, c in previous_max.items()],
+        *[c.alias(f"_a_{n}") for n, c in after.items()],
     )
     chunks = range_chunks(named, [*[F.col(g) for g in group], *order])
     keys = ["_chunk", *group]
@@ -53,25 +56,33 @@ def running(
         "*",
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in sums],
         *[F.max(f"_m_{n}").over(before).alias(f"_p_{n}") for n in previous_max],
+        *([F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_place")] if after else []),
     )
+    if after:
+        back = Window.partitionBy(*keys).orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = local.select("*", *[F.sum(f"_a_{n}").over(back).alias(f"_b_{n}") for n in after])
 
     # One row per chunk and group: at most chunks + groups rows in all.
     totals = chunks.groupBy(*keys).agg(
         *[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums],
         *[F.max(f"_m_{n}").alias(f"_m_{n}") for n in previous_max],
+        *[F.sum(f"_a_{n}").alias(f"_a_{n}") for n in after],
         F.count("*").alias("_n"),
     )
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.sum(f"_v_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
         *[F.max(f"_m_{n}").over(earlier).alias(f"_q_{n}") for n in previous_max],
+        *[F.sum(f"_a_{n}").over(later).alias(f"_d_{n}") for n in after],
     )
     joined = local.join(offsets, keys, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.greatest(f"_p_{n}", f"_q_{n}").alias(n) for n in previous_max],
+        *[(F.col(f"_b_{n}") + F.coalesce(F.col(f"_d_{n}"), F.lit(0))).alias(n) for n in after],
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,6 @@ from riskweave.operators.ranking import global_rank, running
 from riskweave.operators.skew import split_heavy, spread_join
 
 HOUR_MICROS = 3_600_000_000
-# Exact running totals of money: differences of double prefix sums would lose
-# the small windows of a key with a long history.
-_MONEY = "decimal(38,12)"
 
 
 def fill_missing_time(df: DataFrame, ts: str, tie: str) -> DataFrame:
@@ -44,7 +42,9 @@ def activity_windows(
     Rows with equal time count up to the current row in ``tie`` order. The
     windows of ordinary keys share one shuffle by ``key``. A null, NaN or infinite
     value is a row without an amount on either path: it is counted, adds 0
-    to sums, and has no part in mean and deviation.
+    to sums, and has no part in mean and deviation. Sums only ever add the
+    amounts of their frame, so no other amount of the key, however large,
+    touches them; the two layouts differ in the order of addition alone.
     """
     ordinary, dense = split_heavy(df, key, dense_rows)
     out = native_windows(ordinary, key, ts, tie, value, hours)
@@ -61,31 +61,26 @@ def _with_finite(df: DataFrame, value: str) -> DataFrame:
 def native_windows(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:
     """The activity windows as Spark windows over one shuffle by ``key``.
 
-    A range frame takes every row with the current time, so the rows of the
-    same time that come later are taken off again.
+    A frame is the rows before the current time and, of the rows of that
+    time, those up to the current one.
     """
     df, value = _with_finite(df, value), "_finite"
-    whole, same, by_time = Window.partitionBy(key), Window.partitionBy(key, ts), Window.partitionBy(key).orderBy(ts)
-    upto = same.orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole, by_time = Window.partitionBy(key), Window.partitionBy(key).orderBy(ts)
+    upto = Window.partitionBy(key, ts).orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = df.select(
         "*",
         F.lag(ts).over(whole.orderBy(ts, tie)).alias("previous_ts"),
         F.count("*").over(upto).alias("_un"),
         F.coalesce(F.sum(value).over(upto), F.lit(0.0)).alias("_uv"),
     )
-    tied = ordered.select(
-        "*",
-        (F.count("*").over(same) - F.col("_un")).alias("_later_n"),
-        (F.coalesce(F.sum(value).over(same), F.lit(0.0)) - F.col("_uv")).alias("_later_v"),
-    )
     cols = []
     for h in hours:
-        frame = by_time.rangeBetween(-(int(h) * HOUR_MICROS - 1), 0)
-        cols.append((F.count("*").over(frame) - F.col("_later_n")).cast("double").alias(f"count_{h}h"))
-        cols.append((F.coalesce(F.sum(value).over(frame), F.lit(0.0)) - F.col("_later_v")).alias(f"sum_{h}h"))
-    return tied.select(
+        earlier = by_time.rangeBetween(-(int(h) * HOUR_MICROS - 1), -1)
+        cols.append((F.count("*").over(earlier) + F.col("_un")).cast("double").alias(f"count_{h}h"))
+        cols.append((F.coalesce(F.sum(value).over(earlier), F.lit(0.0)) + F.col("_uv")).alias(f"sum_{h}h"))
+    return ordered.select(
         "*", *cols, F.avg(value).over(whole).alias("key_mean"), F.stddev_samp(value).over(whole).alias("key_std")
-    ).drop("_un", "_uv", "_later_n", "_later_v", "_finite")
+    ).drop("_un", "_uv", "_finite")
 
 
 def chunked_windows(
@@ -96,39 +91,63 @@ def chunked_windows(
     stats = df.groupBy(key).agg(
         F.avg(value).alias("key_mean"), F.stddev_samp(value).alias("key_std"), F.count("*").alias("_n")
     )
-    heavy = _prefixed(df, key, ts, tie, value, hours)
+    heavy = _celled(df, key, ts, tie, value, hours, hot_rows)
     heavy = running(heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)})
     return spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n", "_finite")
 
 
-def _prefixed(df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int]) -> DataFrame:
-    """Windows as differences of running totals, for keys of any size.
-
-    Every row is joined in time order by one probe per window at t - h. The
-    running total at the row minus the one at the probe is the window. Cost is
-    linear in the rows, and a key spreads over many range chunks.
+def _celled(
+    df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int], hot_rows: int
+) -> DataFrame:
+    """Windows from time cells, for keys of any size.
+
+    The edges of a frame of h hours, t - h and t, lie at the same place of two
+    cells. The frame is the rest of the first cell after t - h, the whole
+    cells between, and the last cell up to the row. Rests and beginnings are
+    running sums within a cell, read at one probe per window and at the row,
+    and a cell spreads over as many range chunks as it needs. Whole cells are
+    summed over the stored cell totals, a fixed number of them per window.
     """
+    cell = gcd(*[int(h) for h in hours]) * HOUR_MICROS // 4
+    start = lambda at: at - F.pmod(at, F.lit(cell))
     marks = F.array(
         F.struct(F.lit(0).alias("h"), F.col(ts).alias("at")),
         *[F.struct(F.lit(int(h)).alias("h"), (F.col(ts) - int(h) * HOUR_MICROS).alias("at")) for h in hours],
     )
+    is_row = F.col("_h") == 0
     points = df.select(key, tie, value, F.explode(marks).alias("m")).select(
-        key, tie, F.col("m.h").alias("_h"), F.col("m.at").alias("_at"),
-        F.when(F.col("m.h") == 0, F.col(value)).cast(_MONEY).alias("_x"),
+        key, tie, F.col("m.h").alias("_h"), F.col("m.at").alias("_at"), start(F.col("m.at")).alias("_cell"),
+        F.when(F.col("m.h") == 0, F.col(value)).alias("_x"),
     )
-    is_row = (F.col("_h") == 0).cast("bigint")
     # A probe comes after the rows of its own time: the frame is open there.
-    order = [F.col("_at"), (F.col("_h") != 0).cast("int"), F.col(tie), F.col("_h")]
-    totals = running(
-        points, order, {"_n": is_row, "_s": F.coalesce(F.col("_x"), F.lit(0).cast(_MONEY))}, group=[key]
-    )
+    order = [F.col("_at"), is_row.cast("int").desc(), F.col(tie), F.col("_h")]
+    one, amount = is_row.cast("bigint"), F.coalesce(F.col("_x"), F.lit(0.0))
+    sides = running(points, order, {"_n": one, "_s": amount}, group=[key, "_cell"], after={"_rn": one, "_rs": amount})
     at = lambda c, h: F.max(F.when(F.col("_h") == h, F.col(c)))
+    edges = sides.groupBy(tie).agg(
+        at("_n", 0).alias("_n0"), at("_s", 0).alias("_s0"),
+        *[at(c, int(h)).alias(f"{c}{h}") for h in hours for c in ("_rn", "_rs")],
+    )
+
+    totals = df.groupBy(key, start(F.col(ts)).alias("_cell")).agg(
+        F.count("*").alias("_cell_n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("_cell_s")
+    )
+    by_cell = Window.partitionBy(key).orderBy("_cell")
+    between = [
+        F.coalesce(F.sum(c).over(by_cell.rangeBetween(cell - int(h) * HOUR_MICROS, -cell)), F.lit(0)).alias(f"{c}{h}")
+        for h in hours
+        for c in ("_cell_n", "_cell_s")
+    ]
+    totals = totals.select(key, "_cell", "_cell_n", *between)
+
+    whole = df.withColumn("_cell", start(F.col(ts))).join(edges, tie)
+    whole = spread_join(whole, totals, [key, "_cell"], "_cell_n", tie, hot_rows)
     cols = []
     for h in hours:
-        cols.append((at("_n", 0) - at("_n", int(h))).cast("double").alias(f"count_{h}h"))
-        cols.append((at("_s", 0) - at("_s", int(h))).cast("double").alias(f"sum_{h}h"))
-    windows = totals.groupBy(tie).agg(*cols)
-    return df.join(windows, tie)
+        n = F.col(f"_rn{h}") + F.col(f"_cell_n{h}") + F.col("_n0")
+        cols.append(n.cast("double").alias(f"count_{h}h"))
+        cols.append((F.col(f"_rs{h}") + F.col(f"_cell_s{h}") + F.col("_s0")).alias(f"sum_{h}h"))
+    return whole.select(*df.columns, *cols)
 
 
 def with_previous_time(df: DataFrame, key: str, ts: str, tie: str, name: str, hot_rows: int) -> DataFrame:

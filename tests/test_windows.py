@@ -74,6 +74,44 @@ def test_both_paths_sum_alike(spark):
     assert small["T13"]["count_1h"] == 14
 
 
+AMOUNTS = [1e-13, 3e-13, 1e27, 2.5, 1e-13, -1e27, 1e300, 7e-7, float("inf"), float("nan"), None, 1e-13, 0.1, 1e12]
+
+
+@pytest.mark.parametrize("dense_rows", [1_000, 1])
+@pytest.mark.parametrize("minutes", [0, 7, 15, 60, 600])
+def test_each_window_holds_its_own_amounts_only(spark, dense_rows, minutes):
+    """Tiny, huge and non-finite amounts beside each other: exact sums of the frame, whatever else the key has."""
+    import math
+
+    rows = [("a" if i % 3 else "b", i * minutes * HOUR // 60 - 5 * HOUR, f"T{i:02d}", v) for i, v in enumerate(AMOUNTS * 3)]
+    df = spark.createDataFrame(rows, "key string, ts bigint, tie string, v double")
+    out = R.activity_windows(df, "key", "ts", "tie", "v", (1, 6, 24), dense_rows, 4).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        for h in (1, 6, 24):
+            frame = [
+                v for k, ts, tie, v in rows
+                if k == r["key"] and (ts, tie) <= (r["ts"], r["tie"]) and ts > r["ts"] - h * HOUR
+            ]
+            finite = [v for v in frame if v is not None and math.isfinite(v)]
+            assert r[f"count_{h}h"] == len(frame)
+            # Rounding grows with the amounts of the frame, never with others.
+            assert abs(r[f"sum_{h}h"] - math.fsum(finite)) <= 1e-14 * sum(map(abs, finite))
+
+
+def test_sums_to_the_end_of_a_group(spark):
+    from pyspark.sql import functions as F
+
+    from riskweave.operators.ranking import running
+
+    rows = [("hot" if i % 4 else "cold", i * 7 % 90, float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, o int, v double")
+    out = running(df, [F.col("o")], {"up": F.col("v")}, group=["g"], after={"down": F.col("v")}).collect()
+    for r in out:
+        assert r["up"] == sum(v for g, o, v in rows if g == r["g"] and o <= r["o"])
+        assert r["down"] == sum(v for g, o, v in rows if g == r["g"] and o >= r["o"])
+
+
 @pytest.mark.parametrize("dense_rows", [100, 1])
 def test_tied_times_count_up_to_the_row(spark, dense_rows):
     half = HOUR // 2
