@@ -21,8 +21,7 @@ HOT, DENSE = DEFAULTS["hot_key_rows"], DEFAULTS["dense_key_rows"]
 _VT = "vt AS (SELECT transaction_id, sender_account_id AS s, epoch_us(txn_ts) AS us, amount_npr AS a FROM tx)"
 
 
-def _timed(spark, d):
-    t = tx(spark, d)
+def _timed(t):
     return t.select(
         "transaction_id", F.col("sender_account_id").alias("sender"),
         F.unix_micros(F.col("txn_ts").cast("timestamp")).alias("ts"), F.col("amount_npr").alias("amount"),
@@ -31,7 +30,7 @@ def _timed(spark, d):
 
 def _windows(spark, d):
     return activity_windows(
-        _timed(spark, d), "sender", "ts", "transaction_id", "amount", DEFAULTS["velocity_windows_hours"], DENSE, HOT
+        _timed(tx(spark, d)), "sender", "ts", "transaction_id", "amount", DEFAULTS["velocity_windows_hours"], DENSE, HOT
     )
 
 
@@ -169,9 +168,30 @@ def a12(spark, d):
     ctes=(S.VT, S.VW),
 )
 def w1(spark, d):
+    return _activity(_windows(spark, d))
+
+
+# Half of all payments under one sender, the rest as they are.
+_HOT_SENDER = "CASE WHEN amount_npr < 1000000 THEN 'A0' ELSE sender_account_id END"
+
+
+@query(
+    "w1_rolling_activity_hot_sender",
+    """SELECT transaction_id, c1::DOUBLE AS count_1h, c6::DOUBLE AS count_6h, c24::DOUBLE AS count_24h, c168::DOUBLE AS count_168h,
+ round(s1, 2) AS sum_1h, round(s6, 2) AS sum_6h, round(s24, 2) AS sum_24h, round(s168, 2) AS sum_168h FROM vw""",
+    ctes=(S.VT.replace("sender_account_id AS s", f"{_HOT_SENDER} AS s"), S.VW),
+)
+def w1_hot(spark, d):
+    hot = _timed(tx(spark, d).withColumn("sender_account_id", F.expr(_HOT_SENDER)))
+    return _activity(
+        activity_windows(hot, "sender", "ts", "transaction_id", "amount", DEFAULTS["velocity_windows_hours"], DENSE, HOT)
+    )
+
+
+def _activity(windows):
     sums = [f"sum_{h}h" for h in DEFAULTS["velocity_windows_hours"]]
     counts = [f"count_{h}h" for h in DEFAULTS["velocity_windows_hours"]]
-    return P.rounded(_windows(spark, d).select("transaction_id", *counts, *sums), *sums, digits=2)
+    return P.rounded(windows.select("transaction_id", *counts, *sums), *sums, digits=2)
 
 
 @query("w2_seconds_since_previous", "SELECT transaction_id, round(since, 6) AS since FROM vl", ctes=(S.VT, S.VL))
@@ -211,7 +231,7 @@ def w5(spark, d):
     "SELECT transaction_id, CASE WHEN row_number() OVER (ORDER BY txn_ts, transaction_id) <= floor((SELECT count(*) FROM tx) * 0.8) THEN 1 ELSE 0 END AS is_train FROM tx",
 )
 def w6(spark, d):
-    split = temporal_split(_timed(spark, d), "ts", "transaction_id")
+    split = temporal_split(_timed(tx(spark, d)), "ts", "transaction_id")
     return split.select("transaction_id", "is_train")
 
 
@@ -221,7 +241,7 @@ def w6(spark, d):
     ctes=(_VT,),
 )
 def t1(spark, d):
-    ranked = global_rank(_timed(spark, d), [F.col("ts"), F.col("transaction_id")], "position", ["sender"])
+    ranked = global_rank(_timed(tx(spark, d)), [F.col("ts"), F.col("transaction_id")], "position", ["sender"])
     return ranked.select("transaction_id", "position")
 
 
@@ -259,7 +279,7 @@ def t5(spark, d):
 )
 def x1(spark, d):
     out = running(
-        _timed(spark, d), [F.col("ts"), F.col("transaction_id")],
+        _timed(tx(spark, d)), [F.col("ts"), F.col("transaction_id")],
         {"rank": F.lit(1).cast("bigint"), "running_amount": F.col("amount")},
     )
     return P.rounded(out.select("transaction_id", "rank", "running_amount"), "running_amount", digits=2)

@@ -7,12 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from riskweave.operators.sequences import behaviour_rows, sequences
+from riskweave.operators.target_stats import ordered_means
 from riskweave.plans import parts as P
 from riskweave.plans import sqltext as S
 from riskweave.plans.registry import query
 from riskweave.plans.views import tx
 from riskweave.runtime import cut
-from riskweave.scorers import behaviour, compliance, explanation, geo, meta, network, velocity
+from riskweave.scorers import behaviour, compliance, explanation, geo, meta, network, ordered, velocity
 from riskweave.scorers.attribution import TreeParts, tree_attributions
 from riskweave.settings import DEFAULTS
 
@@ -114,6 +115,32 @@ def ge3_cells(spark, d):
     return geo.training_cells(tx(spark, d))
 
 
+_MEANS = ",\n ".join(
+    f"(coalesce(sum(y) OVER {c}, 0)::DOUBLE + prior) / (count(y) OVER {c} + 1)::DOUBLE AS f_{c}_mean" for c in geo.CATEGORICAL
+)
+_ORDERS = ", ".join(
+    f"{c} AS (PARTITION BY f_{c} ORDER BY place, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    for c in geo.CATEGORICAL
+)
+
+
+@query(
+    "ge3_ordered_target_means",
+    f"SELECT transaction_id, {_MEANS} FROM r WINDOW {_ORDERS}",
+    ctes=(
+        S.GEO_F,
+        "r AS (SELECT geo_f.*, is_fraud AS y, md5('42:' || transaction_id) AS place, (SELECT avg(is_fraud) FROM tx) AS prior FROM geo_f JOIN tx USING (transaction_id))",
+    ),
+)
+def ge3_means(spark, d):
+    t = tx(spark, d)
+    prior = t.agg(F.avg("is_fraud")).first()[0]
+    rows = geo.features(t, ("transaction_id", "is_fraud"))
+    out = ordered_means(rows, ordered.CATEGORIES, "is_fraud", "transaction_id", prior)
+    # One division of equal whole numbers: the same double in both engines, so nothing is rounded.
+    return out.select("transaction_id", *[f"{c}_mean" for c in ordered.CATEGORIES])
+
+
 # -------------------------------------------------------------- compliance
 
 _KY_VIEWS = ("tx", "ac")
