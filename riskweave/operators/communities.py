@@ -1,12 +1,13 @@
-"""Dense groups of accounts: core numbers by peeling, and the connected groups of a core."""
+"""Dense groups of accounts: core numbers by falling h-indices, and the connected groups of a core."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.graph import connected, laid_out_edges, nodes
-from riskweave.runtime import cut, partitions, scratch_path
+from riskweave.operators.skew import spread_join
+from riskweave.runtime import cut, partitions
 
 
 def partner_links(e: DataFrame, min_payments: int = 1) -> DataFrame:
@@ -27,57 +28,47 @@ def partner_links(e: DataFrame, min_payments: int = 1) -> DataFrame:
 def core_numbers(e: DataFrame, min_payments: int = 1, rows_per_task: int = 5_000_000) -> DataFrame:
     """(node, core) of every account: the greatest k such that it is in a group in which all have k partners.
 
-    Peeling. In a round all accounts with at most k partners left get the core
-    number k and go; k rises to the least count left when there are none. The links are stored once by
+    The core number is the fixed point of the h-index: from its number of partners, every account takes
+    the greatest h such that h partners have a value of h or more, until no value falls. All
+    k fall at once, so the rounds do not grow with the highest core number (peeling takes a round or more for
+    each); they never exceed those of peeling. The links are stored once by
     (src, part), a source with many of them in several parts, and are not shuffled
-    in a round: the accounts that go are sent to the parts of their links, and only the partly
-    counted losses of their partners are shuffled. Accounts that went are written once and
-    leave the state; when less than half of the stored links still join two accounts in
-    it, these are stored anew, so all rounds together read little more than the links that are left.
-    There is no cap on the rounds; three numbers a round reach the driver.
+    in a round: values are sent to the parts of their links, and only counts by partner and
+    value are shuffled, of values below the partner's number of partners (others do not limit it).
+    There is no cap on the rounds; one number a round reaches the driver.
     """
     spark = e.sparkSession
     links = cut(partner_links(e, min_payments))
-    degree = links.groupBy("src").agg(F.count("*").alias("deg"))
-    laid = laid_out_edges(links, degree, rows_per_task)
+    degree = cut(links.groupBy("src").agg(F.count("*").alias("deg")))
+    limits = degree.select(F.col("src").alias("dst"), F.col("deg").alias("limit"))
+    laid = laid_out_edges(spread_join(links, limits, ["dst"], "limit", "src", rows_per_task), degree, rows_per_task, ["limit"])
     parts = F.ceil(F.col("deg") / F.lit(rows_per_task)).cast("int")
-    start = degree.select(F.col("src").alias("node"), F.col("deg").alias("left"), parts.alias("parts"))
+    start = degree.select(F.col("src").alias("node"), "deg", F.col("deg").alias("core"), parts.alias("parts"))
     state = cut(start.repartition(partitions(spark), "node"), keep_layout=True)
-    path, k = scratch_path(spark, "cores"), 0
-    n, least, live = _measure(state)
-    stored = live
-    schema = f"node {e.schema['src'].dataType.simpleString()}, core bigint"
-    spark.createDataFrame([], schema).write.parquet(path)
-    while n:
-        k = max(k, least)
-        goes = F.col("left") <= k
-        leaving = state.filter(goes)
-        leaving.select("node", F.lit(k).cast("bigint").alias("core")).write.mode("append").parquet(path)
-        sent = leaving.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
-        lost = laid.join(sent, ["src", "_part"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_lost"))
-        stay = state.filter(~goes).join(lost.hint("shuffle_merge"), "node", "left")
-        state = cut(stay.select("node", (F.col("left") - F.coalesce("_lost", F.lit(0))).alias("left"), "parts"), keep_layout=True)
-        n, least, live = _measure(state)
-        if 0 < 2 * live < stored:
-            laid, state = _closed_up(laid, state, rows_per_task)
-            stored = live
-    cores = spark.read.schema(schema).parquet(path)
-    return nodes(e).join(cores, "node", "left").fillna(0, ["core"])
-
-
-def _measure(state: DataFrame) -> tuple[int, int, int]:
-    """(accounts left, least and total count of their partners left)."""
-    return tuple(state.agg(F.count("*"), F.coalesce(F.min("left"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first())
-
-
-def _closed_up(laid: DataFrame, state: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
-    """The links between accounts still in the state, and the state with the parts of these links."""
-    one = state.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
-    near = laid.join(one, ["src", "_part"]).select("src", "dst")
-    inside = cut(near.join(state.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    degree = state.filter("left > 0").select(F.col("node").alias("src"), F.col("left").alias("deg"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("left") / F.lit(rows_per_task))).cast("int")
-    return laid_out_edges(inside, degree, rows_per_task), cut(state.select("node", "left", parts.alias("parts")), keep_layout=True)
+    total, before = _total(state), None
+    while total != before:
+        state = cut(_fallen(laid, state), keep_layout=True)
+        before, total = total, _total(state)
+    return nodes(e).join(state.select("node", "core"), "node", "left").fillna(0, ["core"])
+
+
+def _total(state: DataFrame) -> int:
+    return state.agg(F.coalesce(F.sum("core"), F.lit(0))).first()[0]
+
+
+def _fallen(laid: DataFrame, state: DataFrame) -> DataFrame:
+    """The state with the h-index of the partners' values in place of each value."""
+    sent = state.select(F.col("node").alias("src"), "core", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
+    low = laid.join(sent, ["src", "_part"]).filter(F.col("core") < F.col("limit"))
+    counts = low.groupBy(F.col("dst").alias("node"), "limit", "core").agg(F.count("*").alias("_n"))
+    # Partners with less than a value of the list, and with less than any above it.
+    up_to = F.sum("_n").over(Window.partitionBy("node").orderBy("core"))
+    ranked = counts.withColumn("_up_to", up_to)
+    below = F.greatest(F.least("core", F.col("limit") - (F.col("_up_to") - F.col("_n"))), F.lit(0))
+    found = ranked.groupBy("node").agg(F.max(below).alias("_below"), F.max("_up_to").alias("_low"))
+    stay = state.join(found.hint("shuffle_merge"), "node", "left")
+    value = F.coalesce(F.greatest("_below", F.col("deg") - F.col("_low")), F.col("deg"))
+    return stay.select("node", "deg", value.alias("core"), "parts")
 
 
 def dense_communities(e: DataFrame, k: int, min_payments: int = 1, rows_per_task: int = 5_000_000) -> DataFrame:

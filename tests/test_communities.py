@@ -88,3 +88,13 @@ def test_no_payments(spark):
     e = edges_of(spark, [])
     assert C.core_numbers(e).count() == 0
     assert C.dense_communities(e, 1).count() == 0
+
+
+def test_rounds_do_not_grow_with_the_core_numbers(spark, monkeypatch):
+    """Cliques of 2 to 15 accounts: each is settled at once, whatever its number."""
+    pairs = [(f"{n}-{i}", f"{n}-{j}") for n in range(2, 16) for i in range(n) for j in range(i)]
+    calls, real = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = {r.node: r.core for r in C.core_numbers(edges_of(spark, pairs)).collect()}
+    assert got == {f"{n}-{i}": n - 1 for n in range(2, 16) for i in range(n)}
+    assert len(calls) <= 4
