@@ -10,7 +10,8 @@ feature f is
     value * (one_f - zero_f) * integral over t in [0, 1] of prod over g in D less f of (one_g * t + zero_g * (1 - t))
 
 a polynomial of degree |D| - 1, which ceil(|D| / 2) Gauss-Legendre points integrate exactly: no
-subsets, no copies of a row, no shuffle.
+subsets, no copies of a row. Rows between the same thresholds have the same parts, so these are
+worked out once for each such cell of the whole table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.runtime import scratch_path
+from riskweave.runtime import materialise, partitions, scratch_path
 
 #: Numbers of (row, leaf, feature) that a task holds at once.
 _PIECE = 1 << 21
@@ -121,8 +122,15 @@ class TreeParts:
         """Parts of every row, (row, feature). Rows in one cell of the model's thresholds share theirs."""
         if not len(x):
             return np.zeros((0, self.width))
-        cells = np.stack([np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(self.thresholds)], 1)
-        cells, back = np.unique(cells, axis=0, return_inverse=True)
+        cells, back = np.unique(self.cells(x), axis=0, return_inverse=True)
+        return self.cell_values(cells)[back.reshape(-1)]
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """How many thresholds of each feature lie below a row's value, (row, feature)."""
+        return np.stack([np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(self.thresholds)], 1)
+
+    def cell_values(self, cells: np.ndarray) -> np.ndarray:
+        """Parts of every cell, (cell, feature)."""
         out = np.zeros((len(cells), self.width))
         for leaves in self.groups:
             size = leaves.feature.shape[1]
@@ -140,7 +148,7 @@ class TreeParts:
                     weighed += (w * factor.prod(2))[:, :, None] / factor
                 parts = weighed * (one - leaves.zero) * leaves.value[:, None]
                 out[start : start + rows] += parts.reshape(len(at), -1) @ to_feature
-        return out[back.reshape(-1)]
+        return out
 
 
 def tree_attributions(rows: DataFrame, columns: Sequence[str], parts: TreeParts) -> DataFrame:
@@ -149,17 +157,25 @@ def tree_attributions(rows: DataFrame, columns: Sequence[str], parts: TreeParts)
     kind = rows.schema["transaction_id"].dataType.simpleString()
     # As large as the model, whatever the rows.
     shared = rows.sparkSession.sparkContext.broadcast(parts)
-    names = [f"phi_{c}" for c in columns]
+    names, keys = [f"phi_{c}" for c in columns], [f"_cell_{i}" for i in range(len(columns))]
+    stacked = lambda batch, cols: np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = shared.value.cells(stacked(batch, columns)).astype(np.int32)
+            at = [pa.array(cells[:, j]) for j in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([batch.column("transaction_id"), *at], names=["transaction_id", *keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
-            phi = shared.value.values(x)
-            base = pa.array(np.full(batch.num_rows, shared.value.expected))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("transaction_id"), *[pa.array(phi[:, j]) for j in range(len(columns))], base],
-                names=["transaction_id", *names, "baseline"],
-            )
+            phi = shared.value.cell_values(stacked(batch, keys))
+            at = [pa.array(phi[:, j]) for j in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *at], names=[*keys, *names])
 
+    ints, doubles = ", ".join(f"{k} int" for k in keys), ", ".join(f"{n} double" for n in names)
     inputs = rows.select("transaction_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    return inputs.mapInArrow(run, f"transaction_id {kind}, " + ", ".join(f"{n} double" for n in names) + ", baseline double")
+    placed = inputs.mapInArrow(place, f"transaction_id {kind}, {ints}")
+    cells = placed.select(*keys).distinct().repartition(4 * partitions(rows.sparkSession), *keys)
+    # Stored: the join then knows how few there are, and leaves the rows where they are.
+    told = materialise(cells.mapInArrow(run, f"{ints}, {doubles}"), "cell-parts")
+    return placed.join(told, keys).select("transaction_id", *names, F.lit(parts.expected).alias("baseline"))

@@ -33,6 +33,8 @@ from riskweave.settings import alert_threshold, resolve
 AGENT = "meta_learner"
 # Scorer order of the meta features.
 AGENTS = ("velocity", "geo_risk", "behaviour", "kyc_aml", "graph")
+# Values a feature is trained on (as many as the trees tell apart), rows a cell of them is drawn as, rows of a task.
+BINS, BLOCKS, ROWS_PER_TASK = 32, 16, 50_000
 
 
 def feature_columns(df: DataFrame, extra: Sequence[str] = ()) -> list[str]:
@@ -134,13 +136,50 @@ def _calibrated(calibrator, df: DataFrame, source: str, out: str) -> DataFrame:
     return named.transform(one).withColumn(out, vector_to_array("_cp")[1]).drop("_c", "_cp", "_cr", "_cd")
 
 
+def _marks(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Values that stand for each feature's: all of them, or BINS quantiles over all rows if there are more."""
+    found = {c: [r[0] for r in df.select(c).distinct().limit(BINS + 1).collect()] for c in columns}
+    many = [c for c in columns if len(found[c]) > BINS]
+    if many:
+        shares = [(i + 0.5) / BINS for i in range(BINS)]
+        found.update(zip(many, df.approxQuantile(many, shares, 1e-3), strict=True))
+    return {c: sorted({v + 0.0 for v in values if math.isfinite(v)}) or [0.0] for c, values in found.items()}
+
+
+def _nearest(column: str, marks: Sequence[float]) -> Column:
+    """The mark next to a value. Trees split halfway between marks, so a row and its marks go the same way."""
+    out = None
+    for low, high in itertools.pairwise(marks):
+        fits = F.col(column) <= F.lit((low + high) / 2.0)
+        out = F.when(fits, F.lit(low)) if out is None else out.when(fits, F.lit(low))
+    return F.lit(marks[-1]) if out is None else out.otherwise(F.lit(marks[-1]))
+
+
+def _training_cells(ranked: DataFrame, columns: Sequence[str], part: Column) -> DataFrame:
+    """Features, label, part and weight: rows alike in marks, label and part are counted together.
+
+    All rows count. A cell comes as up to BLOCKS rows of equal weight, which the trees draw on their own, so that
+    their draws differ within a cell too; one with fewer rows comes as these. The passes over the training
+    data then grow with the cells, not with the rows.
+    """
+    marks = _marks(ranked, columns)
+    near = ranked.select("label", part.alias("part"), *[_nearest(c, marks[c]).alias(c) for c in columns])
+    cells = cut(near.groupBy("label", "part", *columns).agg(F.count("*").alias("n")))
+    blocks = F.least(F.col("n"), F.lit(BLOCKS))
+    tasks = max(1, math.ceil((cells.agg(F.sum(blocks)).first()[0] or 0) / ROWS_PER_TASK))
+    # In a fixed order: a refit draws the same rows.
+    spread = cells.withColumn("n", F.explode(F.array_repeat(F.col("n") / blocks, blocks.cast("int"))))
+    dealt = spread.repartition(tasks, *columns).sortWithinPartitions(*columns, "label", "part")
+    return VectorAssembler(inputCols=list(columns), outputCol="_x").transform(cut(dealt))
+
+
 def _score_cells(df: DataFrame) -> DataFrame:
     """Raw scores on a grid of 1e-4 with mean label and weight.
 
     At most 10,001 points reach the calibrator however many rows were scored.
     """
     return df.groupBy(F.round("_raw", 4).alias("raw")).agg(
-        F.avg("label").alias("label"), F.count("*").cast("double").alias("weight")
+        (F.sum(F.col("label") * F.col("n")) / F.sum("n")).alias("label"), F.sum("n").alias("weight")
     )
 
 
@@ -148,18 +187,19 @@ def _forest(cfg: Mapping, seed: int) -> RandomForestClassifier:
     depth = cfg["meta_learner_max_depth"] or cfg["meta_learner_default_max_depth"]
     return RandomForestClassifier(
         featuresCol="_x", labelCol="label", weightCol="_w", numTrees=int(cfg["meta_learner_n_estimators"]),
-        maxDepth=int(depth), seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True,
+        maxDepth=int(depth), maxBins=BINS, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True,
     )
 
 
 def _balanced(train: DataFrame, counts: Mapping[float, int]) -> DataFrame:
     n = sum(counts.values())
     w = {c: n / (2.0 * k) for c, k in counts.items() if k}
-    return train.withColumn("_w", F.when(F.col("label") == 1.0, w.get(1.0, 1.0)).otherwise(w.get(0.0, 1.0)))
+    return train.withColumn("_w", F.col("n") * F.when(F.col("label") == 1.0, w.get(1.0, 1.0)).otherwise(w.get(0.0, 1.0)))
 
 
-def _class_counts(df: DataFrame) -> dict[float, int]:
-    return {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+def _class_counts(df: DataFrame, weight: Column | None = None) -> dict[float, int]:
+    n = F.count("*") if weight is None else F.round(F.sum(weight)).cast("bigint")
+    return {r["label"]: r["n"] for r in df.groupBy("label").agg(n.alias("n")).collect()}
 
 
 def fit(df: DataFrame, settings: Mapping | None = None, extra: Sequence[str] = ()) -> MetaModel:
@@ -178,40 +218,40 @@ def fit(df: DataFrame, settings: Mapping | None = None, extra: Sequence[str] = (
     # Position within the class, in seeded hash order: the stratified split.
     hashed = F.xxhash64("transaction_id", F.lit(seed))
     ranked = cut(global_rank(matrix, [hashed, F.col("transaction_id")], "_rank", ["label"]))
-    data = VectorAssembler(inputCols=columns, outputCol="_x").transform(ranked)
     counts = _class_counts(ranked)
     if len(counts) < 2:
         return MetaModel(kind, columns)
     if kind == "xgboost":
+        data = _training_cells(ranked, columns, F.lit(0))
         return MetaModel(kind, columns, [(_fit_boosted(data, counts, cfg, seed), None)])
     folds = min(int(cfg["meta_learner_calibration_cv"]), *counts.values())
     if folds < 2:
-        return MetaModel(kind, columns, [_fit_holdout(data, counts, cfg, seed)])
+        return MetaModel(kind, columns, [_fit_holdout(ranked, columns, counts, cfg, seed)])
+    data = _training_cells(ranked, columns, F.col("_rank") % folds)
     members = []
     for k in range(folds):
-        mine = F.col("_rank") % folds == k
+        mine = F.col("part") == k
         train = data.filter(~mine)
-        forest = _forest(cfg, seed + k).fit(_balanced(train, _class_counts(train)))
+        forest = _forest(cfg, seed + k).fit(_balanced(train, _class_counts(train, F.col("n"))))
         held = _raw(forest, data.filter(mine), "_raw")
         iso = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(_score_cells(held))
         members.append((forest, iso))
     return MetaModel(kind, columns, members)
 
 
-def _fit_holdout(data: DataFrame, counts: Mapping[float, int], cfg: Mapping, seed: int):
+def _fit_holdout(ranked: DataFrame, columns: Sequence[str], counts: Mapping[float, int], cfg: Mapping, seed: int):
     """Too few rows of one class for folds: hold out a share, sigmoid calibration."""
     share = float(cfg["meta_learner_calibration_val_fraction"])
     held = F.when(F.col("label") == 1.0, F.col("_rank") <= math.floor(share * counts.get(1.0, 0))).otherwise(
         F.col("_rank") <= math.floor(share * counts.get(0.0, 0))
     )
-    train, rest = data.filter(~held), data.filter(held)
-    forest = _forest(cfg, seed).fit(_balanced(train, _class_counts(train)))
+    data = _training_cells(ranked, columns, held.cast("int"))
+    train, rest = data.filter("part = 0"), data.filter("part = 1")
+    forest = _forest(cfg, seed).fit(_balanced(train, _class_counts(train, F.col("n"))))
     if len(_class_counts(rest)) < 2:
         # One class only gives no slope: calibrate on all rows.
         rest = data
-    cells = _raw(forest, rest, "_raw").groupBy(F.round("_raw", 4).alias("raw"), "label").agg(
-        F.count("*").cast("double").alias("weight")
-    )
+    cells = _raw(forest, rest, "_raw").groupBy(F.round("_raw", 4).alias("raw"), "label").agg(F.sum("n").alias("weight"))
     sigmoid = LogisticRegression(featuresCol="_c", labelCol="label", weightCol="weight").fit(
         VectorAssembler(inputCols=["raw"], outputCol="_c").transform(cells)
     )
@@ -221,10 +261,10 @@ def _fit_holdout(data: DataFrame, counts: Mapping[float, int], cfg: Mapping, see
 def _fit_boosted(data: DataFrame, counts: Mapping[float, int], cfg: Mapping, seed: int):
     weight = min(99.0, max(1.0, counts.get(0.0, 0) / max(counts.get(1.0, 0), 1)))
     depth = cfg["meta_learner_max_depth"] or cfg["meta_learner_xgb_default_max_depth"]
-    train = data.withColumn("_w", F.when(F.col("label") == 1.0, weight).otherwise(1.0))
+    train = data.withColumn("_w", F.col("n") * F.when(F.col("label") == 1.0, weight).otherwise(1.0))
     return GBTClassifier(
         featuresCol="_x", labelCol="label", weightCol="_w", maxIter=int(cfg["meta_learner_n_estimators"]),
-        maxDepth=int(depth), stepSize=float(cfg["meta_learner_xgb_learning_rate"]),
+        maxDepth=int(depth), maxBins=BINS, stepSize=float(cfg["meta_learner_xgb_learning_rate"]),
         subsamplingRate=float(cfg["meta_learner_xgb_subsample"]),
         featureSubsetStrategy=str(cfg["meta_learner_xgb_colsample_bytree"]), seed=seed,
     ).fit(train)

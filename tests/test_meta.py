@@ -115,3 +115,22 @@ def test_attributions_and_importances_of_all_rows_by_the_default_model(spark, sf
     assert q_scorers.ex3(spark, sf_dir).count() == rows
     q_scorers.me7(spark, sf_dir)
     assert asked == [None] * 3
+
+
+def test_training_rows_grow_with_the_cells_and_count_all_rows(spark):
+    """4,000 rows of 12 kinds: a few training rows a kind, with the weight of all of them."""
+    df = spark.range(4000).select(F.lit(1.0).alias("label"), (F.col("id") % 4 / 4).alias("a"), (F.col("id") % 3 / 3).alias("b"))
+    cells = meta._training_cells(df, ["a", "b"], F.lit(0))
+    assert cells.count() <= 12 * meta.BLOCKS and cells.agg(F.sum("n")).first()[0] == pytest.approx(4000)
+    assert {(r.a, r.b) for r in cells.collect()} == {(r.a, r.b) for r in df.collect()}
+
+
+def test_trees_send_a_row_where_they_send_its_mark(spark):
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(f"T{i}", x := rnd.random() ** 3, int(x + rnd.gauss(0, 0.2) > 0.4)) for i in range(900)], "transaction_id string, geo_risk_score double, is_fraud int")
+    model = meta.fit(df, {**FAST, "meta_learner_n_estimators": 3})
+    marks = meta._marks(df, ["geo_risk_score"])["geo_risk_score"]
+    assert len(marks) == meta.BINS
+    near = df.withColumn("geo_risk_score", meta._nearest("geo_risk_score", marks))
+    both = model.transform(df, "p").join(model.transform(near, "q").select("transaction_id", "q"), "transaction_id")
+    assert both.filter("p <> q").count() == 0
