@@ -4,19 +4,19 @@ Base formats (e-mail, IP, card, phone) are found by regular expressions and
 checked. Wider generators propose spans that may overlap them: addresses written
 with "(at)", and any run of digits and separators with 7 digits or more. Boosted
 trees score every candidate by format (digits, separators, checks) and context
-(words before, characters around). They are fitted on at most SAMPLE candidates,
-half of them such as touch no base span, those with the least hash. The label does not
+(words before, characters around). They are fitted on all candidates, counted by
+features and label; those that touch a base span and those that touch none weigh half each. The label does not
 depend on the base spans: an address that is one once "(at)" and "(dot)" are undone, an IP
 address, and, free of letters and digits around it, 13 to 19 digits with a valid check
 sum, "+" with 8 to 15 digits, or 7 to 15 digits after a telephone word. A
-fifth of the sample is held out: the lowest threshold of a grid at which at least
+fifth of the candidates, by hash, is held out: the lowest threshold of a grid at which at least
 PRECISION of the accepted held-out candidates that touch no base span are right is used,
 and without one nothing is added. Accepted candidates that touch no base span are added to the
 base spans. The trees become one expression, so scoring needs neither a shuffle
 nor Python: all of this is DataFrame expressions and pyspark.ml.
 
 Positions are code points, end exclusive. Defined cases: null and empty texts
-have no spans; a sample with one class or under MIN_SAMPLE rows gives no model
+have no spans; candidates of one class or fewer than MIN_ROWS give no model
 and nothing is added; rows that repeat a doc_id, or have none, are handled one
 by one; extra columns are ignored.
 """
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, MIN_SAMPLE, TREES, DEPTH = 20_000, 50, 10, 3
+MIN_ROWS, TREES, DEPTH = 50, 10, 3
+ROWS_PER_TASK = 50_000
 PRECISION = 0.995
 _GRID = tuple(x / 100 for x in range(50, 100, 5)) + (0.99,)
 _SPAN = "array<struct<start:int,end:int,m:string>>"
@@ -196,23 +197,29 @@ def fit(found: DataFrame) -> tuple[Callable[[Column], Column], float] | None:
     rows = found.select("doc_id", "spans", F.explode("candidates").alias("c"))
     touches = F.exists("spans", lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"]))
     key = F.xxhash64("doc_id", "c.start", "c.end")
-    rows = rows.select(F.col("c.x").alias("x"), F.col("c.ok").cast("double").alias("label"), touches.alias("touches"), key.alias("key"))
-    halves = [rows.filter(side).orderBy("key", "x").limit(SAMPLE // 2) for side in (~F.col("touches"), F.col("touches"))]
-    sample = stored(halves[0].unionByName(halves[1]), "pii-sample")  # bounded
-    n, right = sample.agg(F.count("*"), F.sum("label")).first()
-    if n < MIN_SAMPLE or not 0 < right < n:
+    held = F.pmod(F.xxhash64(key), F.lit(5)) == 0
+    rows = rows.select(F.col("c.x").alias("x"), F.col("c.ok").cast("double").alias("label"), touches.alias("touches"), held.alias("held"))
+    # All candidates count; those alike in features and label are one row with their number.
+    alike = stored(rows.groupBy("x", "label", "touches", "held").agg(F.count("*").alias("n")), "pii-alike")
+    side = F.col("touches") & ~F.col("held"), ~F.col("touches") & ~F.col("held")
+    n, right, *sides = alike.agg(F.sum("n"), F.sum(F.col("n") * F.col("label")), *[F.sum(F.when(s, F.col("n"))) for s in side]).first()
+    if not n or n < MIN_ROWS or not 0 < right < n:
         return None
-    held = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
-    trees = GBTClassifier(featuresCol="v", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
-    model = trees.fit(sample.filter(~held).select("label", array_to_vector("x").alias("v")))
+    taught = alike.filter(~F.col("held")).withColumn("w", F.col("n") / F.when(F.col("touches"), sides[0]).otherwise(sides[1]) * (sum(k or 0 for k in sides) / 2))
+    # In a fixed order: a refit adds up the same rows in the same tasks.
+    tasks = max(1, alike.count() // ROWS_PER_TASK)
+    dealt = stored(taught.repartition(tasks, "x").sortWithinPartitions("x", "label", "touches").select("label", "w", "x"), "pii-taught")
+    trees = GBTClassifier(featuresCol="v", weightCol="w", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1)
+    model = trees.fit(dealt.select("label", "w", array_to_vector("x").alias("v")))
     fitted = list(zip(model._java_obj.trees(), model.treeWeights, strict=True))
 
     def score(x: Column) -> Column:
         margin = sum((F.lit(float(w)) * _tree(t.rootNode(), x) for t, w in fitted), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
-    judged = sample.filter(held & ~F.col("touches")).select("label", score(F.col("x")).alias("p"))
-    at = judged.agg(*[f for t in _GRID for f in (F.count_if(F.col("p") >= t), F.sum(F.when(F.col("p") >= t, F.col("label"))))]).first()
+    judged = alike.filter("held and not touches").select("label", "n", score(F.col("x")).alias("p"))
+    reached = lambda t, c: F.sum(F.when(F.col("p") >= t, c))
+    at = judged.agg(*[f for t in _GRID for f in (reached(t, F.col("n")), reached(t, F.col("n") * F.col("label")))]).first()
     for i, t in enumerate(_GRID):
         if at[2 * i] and at[2 * i + 1] >= PRECISION * at[2 * i]:
             return score, t

@@ -231,6 +231,14 @@ def test_pii_adds_what_the_formats_miss(spark):
     assert not any(form in (3, 5) for form, _ in added)
 
 
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("call 055 "), 1_000_000 + F.col("id") % 900_000).alias("text"))
+    seen, real = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, label: seen.setdefault(label, real(df, label)))
+    pii.fit(pii._proposals(docs))
+    assert seen["pii-alike"].agg(F.sum("n")).first()[0] == 24_000
+
+
 # ---- quality ----------------------------------------------------------------------
 
 
@@ -265,6 +273,11 @@ def test_quality_rules(documents, labels):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_trusts_every_good_label(spark):
+    good = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(good).count() == 30_000
+
+
 def test_quality_odd_rows(odd, none, labels):
     no_labels = labels.filter("false")
     got = quality.digest(odd, no_labels)
