@@ -20,6 +20,8 @@ from riskweave.scorers.recurrent import GatedUnit, scored, train
 from riskweave.settings import alert_threshold, resolve
 
 AGENT = "behaviour"
+#: Windows from which a training round takes another task, up to the session's shuffle partitions.
+WINDOWS_PER_TASK = 1024
 UNIT_STATS = {"amount_mean": 0.0, "amount_std": 1.0, "time_mean": 0.0, "time_std": 1.0}
 
 
@@ -111,6 +113,15 @@ class SequenceModel:
         return cls(MultilayerPerceptronClassificationModel.load(f"{path}/network"), row, length)
 
 
+def _dealt(windows: DataFrame, n: int) -> DataFrame:
+    """Windows by account in a fixed order, so that a refit adds up the same windows in the same tasks.
+
+    A round sends the parameters to every task and their gradient back, so tasks are no more than windows need.
+    """
+    tasks = min(partitions(windows.sparkSession), -(-n // WINDOWS_PER_TASK))
+    return cut(windows.repartition(tasks, "account").sortWithinPartitions("account"))
+
+
 def fit(tx: DataFrame, settings: Mapping | None = None) -> SequenceModel | None:
     """Sequence classifier over account windows; None without two classes.
 
@@ -124,12 +135,11 @@ def fit(tx: DataFrame, settings: Mapping | None = None) -> SequenceModel | None:
     stats = {k: stats[k] for k in UNIT_STATS}
     length = int(cfg["behaviour_seq_len"])
     windows = sequence_arrays(sequences(behaviour_rows(tx), stats, length)).drop("ids")
-    # By account in a fixed order: a refit adds up the same windows in the same tasks.
-    dealt = windows.repartition(partitions(tx.sparkSession), "account").sortWithinPartitions("account")
-    rows = cut(dealt.withColumn("label", (F.col("label") > 0).cast("double")))
+    rows = cut(windows.withColumn("label", (F.col("label") > 0).cast("double")))
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < positive < n:
         return None
+    rows = _dealt(rows, n)
     if str(cfg["behaviour_model_type"]).lower() == "gru":
         unit, _ = train(
             rows, STEP_WIDTH, length, int(cfg["behaviour_hidden_dim"]), int(cfg["behaviour_max_iter"]),

@@ -79,3 +79,31 @@ def test_model_kinds_survive_storage(spark, tmp_path):
         assert both.count() == 900 and both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
         assert both.filter(~F.col("a").between(0, 1)).count() == 0
     assert behaviour.fit(t.withColumn("is_fraud", F.lit(0))) is None
+
+
+def test_windows_take_few_tasks_and_a_short_message(spark, monkeypatch):
+    """A round sends the parameters to every task and their gradient back: few windows need few tasks, however the session deals."""
+    windows = spark.range(600).select(F.concat(F.lit("A"), "id").alias("account"), F.array(F.lit(0.5), F.lit(1.0)).alias("features"), F.lit(1.0).alias("label"))
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        assert behaviour._dealt(windows, 600).rdd.getNumPartitions() == 1
+        monkeypatch.setattr(behaviour, "WINDOWS_PER_TASK", 100)
+        dealt = behaviour._dealt(windows, 600)
+        assert dealt.rdd.getNumPartitions() == 6
+        monkeypatch.setattr(behaviour, "WINDOWS_PER_TASK", 1)
+        assert behaviour._dealt(windows, 600).rdd.getNumPartitions() == 48
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # More numbers than a block holds, and tasks without windows.
+    unit = GatedUnit.fresh(1, 40, 5)
+    loss, g = unit.gradient(np.tile([[0.5], [1.0]], (600, 1, 1)), np.ones(600), 1.5)
+    total, summed = summed_gradient(dealt.unionByName(dealt.limit(0)), unit, 2, 1.5)
+    assert len(g) > 4096 and total == pytest.approx(loss, abs=1e-7) and np.abs(g - summed).max() < 1e-7
+
+
+def test_gates_far_from_zero_do_not_overflow():
+    unit = GatedUnit(1, 2, np.full(GatedUnit.size(1, 2), 3.0))
+    with np.errstate(all="raise", under="ignore"):
+        for x in (-1e6, 1e6):
+            loss, g = unit.gradient(np.full((3, 4, 1), x), np.array([0.0, 1.0, 0.0]), 1.0)
+            assert np.isfinite(loss) and np.isfinite(g).all()
