@@ -26,6 +26,8 @@ from riskweave.llm.common import stored, whole_text
 
 BUCKETS = 1 << 14
 TRUSTED_LOSS, MARGIN = 0.001, 0.5
+#: Bits of the set of trusted ids for each of them, and the most longs it takes (8 MB); a full set only lets more rows pass to the join.
+MARK_BITS, MARK_WORDS = 16, 1 << 20
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Runs of letters, digits and all that is not ASCII; runs of ASCII marks.
 _UNITS = r"[0-9_a-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-^`{-~]+"
@@ -56,13 +58,40 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
 
 
-def weights(rows: DataFrame) -> DataFrame:
-    """One row: the log ratio of every bucket, an array of BUCKETS doubles; ``rows`` has hashes and is_trusted."""
-    grams = rows.select("is_trusted", F.explode(F.concat("hashes", _pairs("hashes"))).alias("h"))
-    grams = grams.select("is_trusted", _bucket(F.col("h")).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("is_trusted").alias("target"))
+def _id_hash(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"))
+
+
+def marks(trusted: DataFrame, limit: int = MARK_WORDS) -> DataFrame:
+    """One row: a bit set, an array of at most ``limit`` longs, with a bit for each trusted id; other ids may share one."""
+    size = max(1, min(limit, trusted.count() * MARK_BITS // 64))
+    h = _id_hash(F.col("_trusted"))
+    placed = trusted.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(size)).alias("id"), F.pmod(h, F.lit(64)).cast("int").alias("at"))
+    words = placed.groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at"))).alias("bits"))
+    filled = trusted.sparkSession.range(size).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    listed = filled.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("all"))
+    return listed.select(F.transform("all", lambda e: e["bits"]).alias("marks"))
+
+
+def marked(text: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``text`` whose doc_id has its bit in the ``marks``: all that are trusted, and few others while the set has room."""
+    h = _id_hash(F.col("doc_id"))
+    placed = text.withColumns({"_marks": found.scalar(), "_h": h})
+    word = F.get("_marks", F.pmod(F.shiftrightunsigned("_h", 6), F.size("_marks")).cast("int"))
+    hit = F.call_function("shiftright", word, F.pmod(F.col("_h"), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return placed.filter(hit).drop("_marks", "_h")
+
+
+def weights(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """One row: the log ratio of every bucket, an array of BUCKETS doubles; both inputs have hashes."""
+
+    def counts(of: DataFrame, name: str) -> DataFrame:
+        grams = of.select(F.explode(F.concat("hashes", _pairs("hashes"))).alias("h"))
+        return grams.select(_bucket(F.col("h")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
     every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")])
+    filled = every.join(counts(rows, "raw"), "bucket", "left").join(counts(target, "target"), "bucket", "left")
+    filled = filled.select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "target")])
     listed = filled.agg(
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"),
         F.sum("raw").alias("raw"), F.sum("target").alias("target"),
@@ -149,18 +178,22 @@ def _scores(model: DataFrame):
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All rows of ``docs`` (doc_id, text), and its columns but for the text, with the base columns, score, threshold and kept.
 
-    Three reads of the texts: counts of all rows, scores of the trusted ones for
-    the threshold, scores of all rows. Nothing but counts is shuffled while the ids of the trusted
-    rows are few enough for Spark to broadcast them; else rows are joined to them by id.
+    Four reads of the texts: counts of all rows, counts of the trusted ones, scores of trusted ones for
+    the threshold, scores of all rows. Only texts of (nearly) trusted rows are shuffled, by id: a bounded
+    set of bits keeps the others away from the joins, whatever the number of labels.
     """
     trusted = stored(trusted_ids(labels), "trusted-ids")  # its size tells Spark how to join
     text = docs.select("doc_id", whole_text(docs).alias("text"))
-    marked = text.join(trusted, text["doc_id"] == trusted["_trusted"], "left").select(
-        _hashes(F.col("text")).alias("hashes"), (F.col("_trusted").isNotNull() & ~_held(F.col("_trusted"))).alias("is_trusted")
-    )
-    scores = _scores(stored(weights(marked), "ngram-weights"))
-    held = trusted.filter(_held(F.col("_trusted")))
-    sample = text.join(held, text["doc_id"] == held["_trusted"]).select("text", _hashes(F.col("text")).alias("hashes"))
+    near = marked(text, stored(marks(trusted), "trusted-marks"))
+    held = _held(F.col("_trusted"))
+
+    def known(ids: DataFrame) -> DataFrame:
+        # The same join at every size: a broadcast of ids would give way to a shuffle somewhere.
+        return near.join(ids.hint("merge"), near["doc_id"] == ids["_trusted"])
+
+    hashes = _hashes(F.col("text")).alias("hashes")
+    scores = _scores(stored(weights(text.select(hashes), known(trusted.filter(~held)).select(hashes)), "ngram-weights"))
+    sample = known(trusted.filter(held)).select("text", hashes)
     good = F.when(~F.col("base_failed"), F.col("score"))
     counted = scores(base(sample)).select(F.round(good, 4).alias("good")).groupBy("good").agg(F.count("*").alias("n"))
     cut = counted.agg(F.percentile("good", TRUSTED_LOSS, F.col("n")).alias("low"), F.percentile("good", 0.5, F.col("n")).alias("mid"))

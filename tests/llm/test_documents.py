@@ -278,6 +278,29 @@ def test_quality_trusts_every_good_label(spark):
     assert quality.trusted_ids(good).count() == 30_000
 
 
+def test_quality_moves_no_text_without_a_trusted_label(spark):
+    """Whatever Spark may broadcast, texts of other documents stay out of the join."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id"), (-7, "below zero")], "doc_id long, text string"))
+    ids = docs.filter("doc_id % 10 = 0 or doc_id = -7").select(F.col("doc_id").alias("_trusted"))
+    for limit, most in ((quality.MARK_WORDS, 6_000), (1, 30_002)):
+        near = quality.marked(docs, quality.marks(ids, limit))
+        assert near.columns == docs.columns and near.count() <= most
+        assert near.join(ids, near["doc_id"] == ids["_trusted"]).count() == ids.count()
+    assert quality.marked(docs, quality.marks(ids.filter("false"))).count() == 0
+
+
+def test_quality_counts_alike_with_and_without_broadcasts(spark, documents, labels):
+    found = []
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            found.append(sorted(map(tuple, quality.digest(documents, labels).collect())))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1]
+
+
 def test_quality_odd_rows(odd, none, labels):
     no_labels = labels.filter("false")
     got = quality.digest(odd, no_labels)
