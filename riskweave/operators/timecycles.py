@@ -13,6 +13,23 @@ from riskweave.runtime import cut, materialise
 FIRST, MIDDLE, LAST = 1, 2, 4
 
 
+def _turning(e: DataFrame) -> DataFrame:
+    """Payments between accounts that both pay and are paid at some time; no other is on a cycle.
+
+    Where few accounts do both, little is left to spread over cells. Accounts are stored first: their
+    size tells Spark whether to send them to the payments.
+    """
+    timed = e.filter(F.col("ts").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst", "ts")
+    sides = F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("node"), F.lit(2).alias("side"))
+    )
+    ends = timed.select(F.inline(sides)).groupBy("node").agg(F.bit_or("side").alias("sides"))
+    both = materialise(ends.filter("sides = 3").select("node"), "turning-accounts")
+    for end in ("src", "dst"):
+        timed = timed.join(both.withColumnRenamed("node", end), end, "left_semi")
+    return timed.select("src", "dst", "ts")
+
+
 def _cells(e: DataFrame, span: int) -> DataFrame:
     """Payments in the time cells in which they can take part, with the places they can take there.
 
@@ -25,8 +42,7 @@ def _cells(e: DataFrame, span: int) -> DataFrame:
         F.struct(bucket.alias("cell"), F.lit(FIRST | MIDDLE | LAST).alias("place")),
         F.struct((bucket + 1).alias("cell"), F.lit(FIRST).alias("place")),
     )
-    timed = e.filter(F.col("ts").isNotNull() & (F.col("src") != F.col("dst")))
-    return timed.select("src", "dst", "ts", F.inline(places))
+    return e.select("src", "dst", "ts", F.inline(places))
 
 
 def _routes(cells: DataFrame) -> DataFrame:
@@ -59,7 +75,7 @@ def cycle_counts(e: DataFrame, hours: int) -> DataFrame:
     N(t1 + span) - N(t2) cycles. So a busy pair costs its payments for each route it is on, not their products.
     """
     span = hours * HOUR_MICROS
-    cells = materialise(_cells(e, span), "cycle-cells")
+    cells = materialise(_cells(_turning(e), span), "cycle-cells")
     routes = _routes(cells)
     legs = F.array(
         F.struct(F.lit(FIRST).alias("leg"), F.col("x").alias("src"), F.col("y").alias("dst")),

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from riskweave.operators.timecycles import cycle_counts, time_cycles
+from riskweave.operators.timecycles import _turning, cycle_counts, time_cycles
 
 HOUR = 3_600_000_000
 
@@ -75,3 +75,13 @@ def test_no_payments_and_no_cycles(spark):
     assert time_cycles(edges_of(spark, []), 24).count() == 0
     got = time_cycles(edges_of(spark, [("a", "b", 0), ("b", "a", 1)]), 24).collect()
     assert {(r.node, r.started, r.passed) for r in got} == {("a", 0, 0), ("b", 0, 0)}
+
+
+def test_accounts_that_only_pay_or_only_are_paid_stay_out(spark):
+    """Payments that can be on no cycle are gone before any is spread over time cells."""
+    rows = [("a", "b", 1), ("b", "c", 2), ("c", "a", 3), ("a", "a", 4), (None, "a", 5)]
+    rows += [(f"payer{i}", "a", 10 + i) for i in range(50)] + [("b", f"payee{i}", 10 + i) for i in range(50)] + [("c", "a", None)]
+    e = spark.createDataFrame(rows, "src string, dst string, ts long").filter("src is not null")
+    assert sorted(map(tuple, _turning(e).collect())) == [("a", "b", 1), ("b", "c", 2), ("c", "a", 3)]
+    counted = {r.node: (r.started, r.passed) for r in time_cycles(e, 1).collect()}
+    assert len(counted) == 103 and {n: v for n, v in counted.items() if any(v)} == {"a": (1, 0), "b": (0, 1), "c": (0, 1)}
