@@ -98,3 +98,13 @@ def test_learned_weights_beat_money_on_other_payments(spark, tmp_path):
     again = AttentionModel.load(spark, f"{tmp_path}/heads")
     assert np.array_equal(again.net.flat, kept.net.flat) and again.columns == list(COLUMNS)
     assert attention.fit_attention(train.withColumn("is_fraud", F.lit(0)), settings, COLUMNS) is None
+
+
+def test_few_numbers_of_a_payee_go_to_its_pairs(spark, monkeypatch):
+    """A round joins to every pair two numbers a head and the slopes of its payee, and the sums stay the same."""
+    graph, _ = attention._laid_out(G.edges(payments(spark, 2)), COLUMNS, None, None)
+    net, sent = HeadLayer.fresh(len(COLUMNS), 4, 3, 2), []
+    to_parts = attention._Graph.to_parts
+    monkeypatch.setattr(attention._Graph, "to_parts", lambda self, states, names: sent.append(len(names)) or to_parts(self, states, names))
+    _, g = attention.loss_and_gradient(graph, net, 2.0)
+    assert sent == [2 * 4 + 4 * 3] and np.isfinite(g).all()
