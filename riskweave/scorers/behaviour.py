@@ -21,7 +21,7 @@ from riskweave.settings import alert_threshold, resolve
 
 AGENT = "behaviour"
 #: Windows from which a training round takes another task, up to the session's shuffle partitions.
-WINDOWS_PER_TASK = 1024
+WINDOWS_PER_TASK = 256
 UNIT_STATS = {"amount_mean": 0.0, "amount_std": 1.0, "time_mean": 0.0, "time_std": 1.0}
 
 

@@ -86,7 +86,7 @@ def test_windows_take_few_tasks_and_a_short_message(spark, monkeypatch):
     windows = spark.range(600).select(F.concat(F.lit("A"), "id").alias("account"), F.array(F.lit(0.5), F.lit(1.0)).alias("features"), F.lit(1.0).alias("label"))
     spark.conf.set("spark.sql.shuffle.partitions", "48")
     try:
-        assert behaviour._dealt(windows, 600).rdd.getNumPartitions() == 1
+        assert behaviour._dealt(windows, 600).rdd.getNumPartitions() == 3
         monkeypatch.setattr(behaviour, "WINDOWS_PER_TASK", 100)
         dealt = behaviour._dealt(windows, 600)
         assert dealt.rdd.getNumPartitions() == 6
