@@ -17,9 +17,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ END = 2
 #: Bytes of ORC stripe and rows per row group; a reader's task takes one or more whole stripes.
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 2_000
+#: ASCII marks that are one unit after letters; an apostrophe may open a unit of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin, Greek, Cyrillic, Han and Hangul characters that are letters by any edition of Unicode and stay letters
+#: when normalized (the capital I with a dot does not: its dot would be one unit with the marks after it).
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏΈ-ΊΌΎ-ΡΣ-ώА-ҁҊ-ӿ一-龥가-힣"
+_BOTH = f"^[{_LETTERS}]+[" + "".join("\\" + c for c in _MARKS) + "]+$"
 
 
 def default_tokenizer() -> str:
@@ -41,66 +49,88 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Memo:
-    """The tokenizer behind a memory of words; one per Python worker and file.
+    """The tokenizer behind a memory of parts of words; one per Python worker and file."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    The tokenizer drops white space and never merges across it, so the ids of a
-    text are the ids of its words end to end.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # Words of a-z come out of the normalizer as they are and are one unit each: spaces part them as well.
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     closes = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     closes[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(by: Tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(raw: list[bytes], _) -> tuple[np.ndarray, np.ndarray]:
-        words = [w.decode() for w in raw]
+    def encode(words: list[str], _) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(words)
-        # Letters are one unit and a mark after them another: such words are encoded many at a time and
-        # parted at the ends of their units.
-        units = [1 if w.isalpha() else 2 if w[-1] in ",.;:!?" and w[:-1].isalpha() else 0 for w in words]
-        plain = [i for i, n in enumerate(units) if n]
-        for lo in range(0, len(plain), 256):
-            part = plain[lo : lo + 256]
-            joined = whole([" ".join(words[i] for i in part)])[0]
-            ends = np.flatnonzero(closes[joined]) + 1
-            last = np.cumsum([units[i] for i in part])
-            if len(ends) == last[-1] and len(joined) == ends[-1]:
-                stops = ends[last - 1].tolist()
-                for i, a, b in zip(part, [0, *stops[:-1]], stops, strict=True):
-                    out[i] = joined[a:b]
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        latin = [i for i in letters if words[i].isascii() and words[i].islower()]
+        # Words of letters alone are encoded many at a time and parted at the ends of their units.
+        for by, chosen in ((plain, latin), (tokenizer, sorted(set(letters) - set(latin)))):
+            for lo in range(0, len(chosen), 256):
+                part = chosen[lo : lo + 256]
+                joined = ids(by, [" ".join([words[i] for i in part])])[0]
+                stops = (np.flatnonzero(closes[joined]) + 1).tolist()
+                if len(stops) == len(part) and len(joined) == stops[-1]:
+                    for i, a, b in zip(part, [0, *stops[:-1]], stops, strict=True):
+                        out[i] = joined[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, whole([words[i] for i in rest]), strict=True):
-            out[i] = ids
+        for i, own in zip(rest, ids(tokenizer, [words[i] for i in rest]), strict=True):
+            out[i] = own
         lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((i for x in out for i in x), np.int32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(out), np.int32, int(lengths.sum())), lengths
 
     return Memo(encode)
 
 
+def _parts(words: pa.Array) -> pa.Array:
+    """Two strings for each word, all first ones before all second ones, whose ids are those of the word end to end.
+
+    Letters are one unit of the tokenizer and the ASCII marks after them another; any other word stays whole.
+    """
+    cut = pc.match_substring_regex(words, _BOTH)
+    both = words.filter(cut)
+    stems, marks = pc.utf8_rtrim(both, characters=_MARKS), pc.replace_substring_regex(both, f"^[{_LETTERS}]+", "")
+    return pa.concat_arrays([pc.replace_with_mask(words, cut, stems), pc.replace_with_mask(pa.repeat("", len(words)), cut, marks)])
+
+
+def _taken(flat: np.ndarray, lengths: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of ``flat`` that ``places`` name, end to end, their lengths); ``lengths`` parts ``flat`` into runs."""
+    starts, long = (np.cumsum(lengths) - lengths)[places], lengths[places]
+    ends = np.cumsum(long)
+    at = np.repeat(starts - ends + long, long)
+    at += np.arange(len(at))
+    return flat[at], long
+
+
 def encode_rows(path: str, end_id: int):
-    """Task that turns (doc_id, text) batches into (doc_id, n_tokens, ids) batches."""
+    """Task that turns (doc_id, text) batches into (doc_id, n_tokens, ids) batches.
+
+    The tokenizer drops white space and never merges across it, so the ids of a
+    text are the ids of its words end to end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _encoder(path)
         for batch in slices(batches, "text"):
-            words: list[bytes] = []
-            counts = []
-            for text in batch.column("text").fill_null("").cast(pa.large_binary()).to_pylist():
-                # The tokenizer lowers case; doing it first saves words, but could make a special token's name.
-                own = (text if b"<|" in text else text.lower()).split()
-                counts.append(len(own))
-                words += own
-            ids, per_word = memo.ids(words)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            ends = np.concatenate([[0], np.cumsum(per_word)])[bounds]
-            n_tokens = np.diff(ends) + 1
-            closed = np.insert(ids, ends[1:], end_id).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+            texts = batch.column("text").fill_null("")
+            # The tokenizer lowers case; doing it first saves words, but could make a special token's name.
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+            split = pc.ascii_split_whitespace(texts)
+            words = split.flatten().dictionary_encode()
+            parts = _parts(words.dictionary).dictionary_encode()
+            ids, long = memo.ids(parts.dictionary.to_pylist())
+            pairs = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+            ids, long = _taken(ids, long, pairs)
+            # One more word is the end id, which follows the words of every text.
+            ids, long = np.append(ids, np.int32(end_id)), np.append(long.reshape(-1, 2).sum(1), 1)
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+            ids, long = _taken(ids, long, np.insert(words.indices.to_numpy(), bounds[1:], len(long) - 1))
+            offsets = np.concatenate([[0], np.cumsum(long)])[bounds + np.arange(len(bounds))]
+            n_tokens = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_tokens), pa.ListArray.from_arrays(pa.array(offsets), pa.array(closed))],
+                [batch.column("doc_id"), pa.array(n_tokens), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
                 names=["doc_id", "n_tokens", "ids"],
             )
 

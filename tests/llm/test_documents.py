@@ -328,6 +328,28 @@ def test_token_files(spark, documents, odd, none):
     assert token_files.digest(none).count() == 0
 
 
+def test_token_files_learn_parts_of_words_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    tokenizer = Tokenizer.from_file(path)
+    letters = [a + b + c for a in "abcdefghij" for b in "aeiou" for c in ("st", "né", "ΣΑΣ", "Æſ", "ßж")]
+    marks = [".", ",", "!!", "&&&", "***", "%_|", "'", "'s", "<|", "1", "é", "\u0301", "\u0338"]
+    texts = [" ".join(w + m for w in letters) for m in marks[:6]]
+    texts += [" ".join(w + m for w in letters) for m in marks[6:]]
+    texts += ["", None, "  \t ", "\n a\x0bb\x0c ", "don't I'LL THE 's !'s _a_ a_b", "x<|endoftext|>Y <|STARTOFTEXT|> <|startoftext|>", "a\u00a0b\u2003c, d\x85e \x1cf\x1f", "İ! SİI. क़! İI ǅ ª² Ⅷ 中文字。 ก็ 한글! e\u0301, \u1100\u1161 <\u0338 a<\u0338 K K."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    memo = token_files._encoder(path)
+    memo._reset()
+    list(token_files.encode_rows(path, 2)(iter([batch.slice(0, 6)])))
+    assert len(memo.numbers) <= len(letters) + 7
+    (got,) = token_files.encode_rows(path, 2)(iter([batch]))
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert got.column("ids").to_pylist() == want
+    assert got.column("n_tokens").to_pylist() == [len(w) for w in want]
+
+
 def test_token_files_prune(spark, documents, tmp_path):
     path = str(tmp_path / "ids")
     token_files.write(documents, path)
