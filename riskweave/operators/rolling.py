@@ -8,8 +8,9 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.ranking import global_rank, running
-from riskweave.operators.skew import split_heavy, spread_join
+from riskweave.operators.ranking import global_rank, running, tasks_for
+from riskweave.operators.skew import MAX_BROADCAST_KEYS, split_counted, split_heavy, spread_join
+from riskweave.runtime import cut
 
 HOUR_MICROS = 3_600_000_000
 
@@ -88,18 +89,23 @@ def chunked_windows(
 ) -> DataFrame:
     """The activity windows over range chunks, for keys of any size."""
     df, value = _with_finite(df, value), "_finite"
-    stats = df.groupBy(key).agg(
+    stats = cut(df.groupBy(key).agg(
         F.avg(value).alias("key_mean"), F.stddev_samp(value).alias("key_std"), F.count("*").alias("_n")
+    ))
+    keys, rows = stats.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    heavy = _celled(df, key, ts, tie, value, hours, hot_rows, rows)
+    heavy = running(
+        heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)}, rows=rows
     )
-    heavy = _celled(df, key, ts, tie, value, hours, hot_rows)
-    heavy = running(heavy, [F.col(ts), F.col(tie)], {}, group=[key], previous_max={"previous_ts": F.col(ts)})
+    if keys <= MAX_BROADCAST_KEYS:
+        return heavy.join(F.broadcast(stats), key, "left").drop("_n", "_finite")
     return spread_join(heavy, stats, [key], "_n", tie, hot_rows).drop("_n", "_finite")
 
 
 def _celled(
-    df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int], hot_rows: int
+    df: DataFrame, key: str, ts: str, tie: str, value: str, hours: Sequence[int], hot_rows: int, rows: int
 ) -> DataFrame:
-    """Windows from time cells, for keys of any size.
+    """Windows from time cells, for keys of any size; ``rows`` is the number of rows.
 
     The edges of a frame of h hours, t - h and t, lie at the same place of two
     cells. The frame is the rest of the first cell after t - h, the whole
@@ -122,9 +128,14 @@ def _celled(
     # A probe comes after the rows of its own time: the frame is open there.
     order = [F.col("_at"), is_row.cast("int").desc(), F.col(tie), F.col("_h")]
     one, amount = is_row.cast("bigint"), F.coalesce(F.col("_x"), F.lit(0.0))
-    sides = running(points, order, {"_n": one, "_s": amount}, group=[key, "_cell"], after={"_rn": one, "_rs": amount})
+    sides = running(
+        points, order, {"_n": one, "_s": amount}, group=[key, "_cell"], after={"_rn": one, "_rs": amount},
+        rows=rows * (1 + len(hours)),
+    )
     at = lambda c, h: F.max(F.when(F.col("_h") == h, F.col(c)))
-    edges = sides.groupBy(tie).agg(
+    # Rows of one tie are rarely in one task yet, so they are not summed before they are dealt out.
+    n = tasks_for(df.sparkSession, rows * (1 + len(hours)))
+    edges = sides.repartition(n, tie).groupBy(tie).agg(
         at("_n", 0).alias("_n0"), at("_s", 0).alias("_s0"),
         *[at(c, int(h)).alias(f"{c}{h}") for h in hours for c in ("_rn", "_rs")],
     )
@@ -140,7 +151,7 @@ def _celled(
     ]
     totals = totals.select(key, "_cell", "_cell_n", *between)
 
-    whole = df.withColumn("_cell", start(F.col(ts))).join(edges, tie)
+    whole = df.withColumn("_cell", start(F.col(ts))).repartition(n, tie).join(edges, tie)
     whole = spread_join(whole, totals, [key, "_cell"], "_cell_n", tie, hot_rows)
     cols = []
     for h in hours:
@@ -152,12 +163,12 @@ def _celled(
 
 def with_previous_time(df: DataFrame, key: str, ts: str, tie: str, name: str, hot_rows: int) -> DataFrame:
     """Add the time of the key's previous row, null for its first."""
-    ordinary, hot = split_heavy(df, key, hot_rows)
+    ordinary, hot, rows = split_counted(df, key, hot_rows)
     before = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last(), tie)
     out = ordinary.withColumn(name, F.lag(ts).over(before))
     if hot is not None:
         order = [F.col(ts).asc_nulls_last(), F.col(tie)]
-        out = out.unionByName(running(hot, order, {}, group=[key], previous_max={name: F.col(ts)}))
+        out = out.unionByName(running(hot, order, {}, group=[key], previous_max={name: F.col(ts)}, rows=rows))
     return out
 
 
@@ -170,7 +181,7 @@ def window_counts(
     of a key share one shuffle.
     """
     flagged = df.select("*", *[c.cast("bigint").alias(f"_c_{n}") for n, (c, _, _) in counted.items()])
-    ordinary, dense = split_heavy(flagged, key, dense_rows)
+    ordinary, dense, rows = split_counted(flagged, key, dense_rows)
     by_time = Window.partitionBy(key).orderBy(ts)
     out = ordinary.select(
         *df.columns,
@@ -193,7 +204,7 @@ def window_counts(
     is_row = F.col("m.k") == 0
     sums = {n: F.when(is_row, F.col(f"_c_{n}")).otherwise(0) for n in counted}
     order = [F.col("m.at"), is_row.cast("int"), F.col(tie), F.col("m.k")]
-    totals = running(points, order, sums, group=[key])
+    totals = running(points, order, sums, group=[key], rows=rows * (1 + len(shifts)))
     at = lambda c, x: F.max(F.when(F.col("m.k") == number[x], F.col(c)))
     windows = totals.groupBy(tie).agg(
         *[(at(n, high + 1) - at(n, low)).alias(n) for n, (_, low, high) in counted.items()]

@@ -147,3 +147,25 @@ def test_missing_times_take_the_position(spark):
     rows = [("T1", 5), ("T2", None), ("T3", None)]
     out = R.fill_missing_time(spark.createDataFrame(rows, "id string, ts bigint"), "ts", "id").orderBy("id").collect()
     assert [r["ts"] for r in out] == [5, 1_000_000, 2_000_000]
+
+
+def test_chunks_grow_in_number_not_in_size(spark, skewed, monkeypatch):
+    from riskweave.operators import ranking
+
+    made, range_chunks = [], ranking.range_chunks
+
+    def kept(*args):
+        made.append(range_chunks(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ranking, "range_chunks", kept)
+    monkeypatch.setattr(ranking, "CHUNK_ROWS", 50, raising=False)
+    df = spark.createDataFrame(skewed, "key string, ts bigint, tie string, v double")
+    out = R.activity_windows(df, "key", "ts", "tie", "v", (1, 6, 24, 168), 30, 40).collect()
+    sizes = [[r["count"] for r in chunks.groupBy("_chunk").count().collect()] for chunks in made]
+    assert len(sizes) == 2 and max(map(max, sizes)) <= 150
+    want = brute(skewed, (1, 6, 24, 168))
+    for row in out:
+        assert [row[f"count_{h}h"] for h in (1, 6, 24, 168)] == [want[row["tie"]][h][0] for h in (1, 6, 24, 168)]
+        assert row["sum_168h"] == pytest.approx(want[row["tie"]][168][1])
+        assert row["previous_ts"] == want[row["tie"]]["prev"]
