@@ -121,7 +121,10 @@ def _celled(
         *[F.struct(F.lit(int(h)).alias("h"), (F.col(ts) - int(h) * HOUR_MICROS).alias("at")) for h in hours],
     )
     is_row = F.col("_h") == 0
-    points = df.select(key, tie, value, F.explode(marks).alias("m")).select(
+    # Dealt out before they multiply: what a task holds while it writes a shuffle of many parts is then small as well.
+    n = tasks_for(df.sparkSession, rows * (1 + len(hours)))
+    dealt = df.repartition(n, tie)
+    points = dealt.select(key, tie, value, F.explode(marks).alias("m")).select(
         key, tie, F.col("m.h").alias("_h"), F.col("m.at").alias("_at"), start(F.col("m.at")).alias("_cell"),
         F.when(F.col("m.h") == 0, F.col(value)).alias("_x"),
     )
@@ -134,7 +137,6 @@ def _celled(
     )
     at = lambda c, h: F.max(F.when(F.col("_h") == h, F.col(c)))
     # Rows of one tie are rarely in one task yet, so they are not summed before they are dealt out.
-    n = tasks_for(df.sparkSession, rows * (1 + len(hours)))
     edges = sides.repartition(n, tie).groupBy(tie).agg(
         at("_n", 0).alias("_n0"), at("_s", 0).alias("_s0"),
         *[at(c, int(h)).alias(f"{c}{h}") for h in hours for c in ("_rn", "_rs")],
@@ -151,7 +153,7 @@ def _celled(
     ]
     totals = totals.select(key, "_cell", "_cell_n", *between)
 
-    whole = df.withColumn("_cell", start(F.col(ts))).repartition(n, tie).join(edges, tie)
+    whole = dealt.withColumn("_cell", start(F.col(ts))).join(edges, tie)
     whole = spread_join(whole, totals, [key, "_cell"], "_cell_n", tie, hot_rows)
     cols = []
     for h in hours:
