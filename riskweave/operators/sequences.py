@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import dims
 from riskweave.functions.scalars import account_column, amount_of, event_micros, number_or
 from riskweave.operators.rolling import with_previous_time
 
+#: Bits of the largest amount as a whole number, and of the lower part of whole numbers that are squared.
+_BITS, _LOW = 52, 31
+
 
 def behaviour_rows(tx: DataFrame) -> DataFrame:
     """Account, time, amount, category ids and label per transaction."""
@@ -35,21 +41,43 @@ def time_deltas(rows: DataFrame, hot_rows: int) -> DataFrame:
     return out.withColumn("time_delta", delta).drop("_prev")
 
 
+def _whole_sums(col: Column, name: str) -> list[Column]:
+    """Count, sum and the parts of the sum of squares of whole numbers, none of them rounded."""
+    high = F.shiftright(col, _LOW)
+    low = col - F.shiftleft(high, _LOW)
+    parts = {"sum": col, "high": high * high, "mixed": high * low, "low": low * low}
+    return [F.count(col).alias(f"{name}_n"), *[F.sum(c.cast("decimal(28,0)")).alias(f"{name}_{k}") for k, c in parts.items()]]
+
+
+def _moments(sums: Row, name: str, unit: Fraction) -> tuple[float, float]:
+    """Mean and deviation of whole numbers of ``unit``; 0 and 1 where there is none."""
+    n, total, high, mixed, low = (int(sums[f"{name}_{k}"] or 0) for k in ("n", "sum", "high", "mixed", "low"))
+    if not n:
+        return 0.0, 1.0
+    squares = (high << 2 * _LOW) + (mixed << _LOW + 1) + low
+    variance = Fraction(n * squares - total**2, n * (n - 1)) if n > 1 else 0
+    return float(Fraction(total, n) * unit), math.sqrt(variance) * float(unit) or 1.0
+
+
 def normalisation(rows: DataFrame, hot_rows: int) -> DataFrame:
     """One row: mean and deviation of amounts and of time deltas.
 
     The first row of an account has no delta here. A missing or zero
-    deviation becomes 1.
+    deviation becomes 1. Sums are of whole numbers (microseconds, and amounts in
+    2**-52 of a power of two above the largest), so the same rows give the same
+    digits in whatever order tasks are added up. Infinite amounts make the mean
+    infinite and the deviation NaN.
     """
+    finite = F.abs("amount") < float("inf")
+    top, endless = rows.agg(F.max(F.when(finite, F.abs("amount"))), F.sum(F.when(~finite, F.col("amount")))).first()
+    shift = min(_BITS - math.frexp(top or 1.0)[1], 1023)
+    whole = F.when(finite, F.rint(F.col("amount") * 2.0**shift).cast("bigint"))
     out = with_previous_time(rows, "account", "ts", "transaction_id", "_prev", hot_rows)
-    delta = (F.col("ts") - F.col("_prev")) / 1e6
-    safe = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0))
-    return out.agg(
-        F.coalesce(F.avg("amount"), F.lit(0.0)).alias("amount_mean"),
-        safe(F.stddev_samp("amount")).alias("amount_std"),
-        F.coalesce(F.avg(delta), F.lit(0.0)).alias("time_mean"),
-        safe(F.stddev_samp(delta)).alias("time_std"),
-    )
+    sums = out.agg(*_whole_sums(whole, "amount"), *_whole_sums(F.col("ts") - F.col("_prev"), "time")).first()
+    amount = _moments(sums, "amount", Fraction(2) ** -shift) if endless is None else (endless, math.nan)
+    time = _moments(sums, "time", Fraction(1, 10**6))
+    names = ("amount_mean", "amount_std", "time_mean", "time_std")
+    return rows.sparkSession.createDataFrame([(*amount, *time)], ", ".join(f"{c} double" for c in names))
 
 
 def sequences(rows: DataFrame, stats: dict[str, float], length: int = 16) -> DataFrame:

@@ -22,12 +22,8 @@ _PIECE, GRID = 512, 36
 _BLOCK = 4096
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
-
-
 def _into_sigmoid(z: np.ndarray) -> None:
-    """The same in place, by exp, which takes a third of the time of tanh; far below zero exp overflows to the right 0."""
+    """In place, by exp, which takes a third of the time of tanh; far below zero exp overflows to the right 0."""
     np.negative(z, out=z)
     with np.errstate(over="ignore"):
         np.exp(z, out=z)
@@ -35,6 +31,18 @@ def _into_sigmoid(z: np.ndarray) -> None:
     np.reciprocal(z, out=z)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """Above 0 down to -709; by tanh it would be 0 from -38 on."""
+    out = np.array(x, dtype=float)
+    _into_sigmoid(out)
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` with a product of its own for each row: in a product of many rows, the last digits of one depend on its place among them."""
+    return (a[..., None, :] @ b)[..., 0, :]
+
+
 @dataclass
 class GatedUnit:
     """``inputs`` numbers a step, ``hidden`` states; weights in one flat array (reset, update and new state side by side)."""
@@ -59,16 +67,16 @@ class GatedUnit:
         w, u, b, v, c = np.split(flat, ends[:-1])
         return w.reshape(self.inputs, 3 * h), u.reshape(h, 3 * h), b, v, c
 
-    def _forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    def _forward(self, x: np.ndarray, product=np.matmul) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Logits of windows (window, step, input), and what the way back needs, all by step first:
         inputs, gates (reset, update and new state side by side), offers to the new state, states."""
         w, u, b, v, c = self.parts()
         h, (n, steps, _) = self.hidden, x.shape
         x = np.ascontiguousarray(x.transpose(1, 0, 2))
-        gates = (x.reshape(steps * n, -1) @ w + b).reshape(steps, n, 3 * h)
+        gates = (product(x.reshape(steps * n, -1), w) + b).reshape(steps, n, 3 * h)
         states, offers = np.zeros((steps + 1, n, h)), np.empty((steps, n, h))
         for t in range(steps):
-            both, new, kept = gates[t][:, : 2 * h], gates[t][:, 2 * h :], states[t] @ u
+            both, new, kept = gates[t][:, : 2 * h], gates[t][:, 2 * h :], product(states[t], u)
             both += kept[:, : 2 * h]
             _into_sigmoid(both)
             offers[t] = kept[:, 2 * h :]
@@ -78,10 +86,11 @@ class GatedUnit:
             new *= 2.0
             new -= 1.0
             states[t + 1] = (states[t] - new) * both[:, h:] + new
-        return states[-1] @ v + c, (x, gates, offers, states)
+        return product(states[-1], v[:, None])[:, 0] + c, (x, gates, offers, states)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self._forward(x)[0])
+        """Scores of windows; a window has the same one whichever windows are scored with it."""
+        return _sigmoid(self._forward(x, _apart)[0])
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: float) -> tuple[float, np.ndarray]:
         """Sum over windows of the loss, positives counted ``weight`` times, and its gradient."""

@@ -1,11 +1,14 @@
 """The gated recurrent unit: gradients, refits, storage, and an order it has to learn."""
 
+import math
 import random
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators.sequences import normalisation
 from riskweave.scorers import behaviour
 from riskweave.scorers.recurrent import GatedUnit, summed_gradient, train
 
@@ -107,3 +110,71 @@ def test_gates_far_from_zero_do_not_overflow():
         for x in (-1e6, 1e6):
             loss, g = unit.gradient(np.full((3, 4, 1), x), np.array([0.0, 1.0, 0.0]), 1.0)
             assert np.isfinite(loss) and np.isfinite(g).all()
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "transaction_id string, account string, ts long, amount double")
+
+
+def test_statistics_do_not_depend_on_how_rows_are_dealt(spark):
+    """Tasks are added up as they arrive: a refit has the same mean and deviation to the last digit only if their order does not matter."""
+    rnd = random.Random(11)
+    rows = [(f"T{i:05d}", f"A{rnd.randrange(500)}", rnd.randrange(10**13), rnd.lognormvariate(9, 3)) for i in range(5000)]
+    table, found = _rows(spark, rows).cache(), set()
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 3, 7, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.add(tuple(normalisation(table.repartition(n), 5_000_000).first()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found) == 1
+    amounts, times = [r[3] for r in rows], {}
+    for _, account, ts, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        times.setdefault(account, []).append(ts)
+    deltas = [(b - a) / 1e6 for x in times.values() for a, b in zip(x, x[1:])]
+    want = [f(x) for x in (amounts, deltas) for f in (statistics.fmean, statistics.stdev)]
+    assert found.pop() == pytest.approx(want, rel=1e-13)
+
+
+@pytest.mark.parametrize(
+    ("amounts", "want"),
+    [
+        ([], (0.0, 1.0)),
+        ([7.5], (7.5, 1.0)),
+        ([0.1] * 9, (0.1, 1.0)),
+        ([0.0, 0.0], (0.0, 1.0)),
+        ([None, 2.0, -4.0], (-1.0, math.sqrt(18))),
+        ([1e300, 3e300, 1e-300], (4e300 / 3, statistics.stdev([1.0, 3.0, 0.0]) * 1e300)),
+        ([1e-300, 3e-300], (2e-300, math.sqrt(2) * 1e-300)),
+        ([1.0, math.inf], (math.inf, math.nan)),
+    ],
+)
+def test_statistics_of_odd_amounts(spark, amounts, want):
+    rows = _rows(spark, [(f"T{i}", "A", 1_500_000 * i * i, a) for i, a in enumerate(amounts)])
+    state = normalisation(rows, 5_000_000).first()
+    assert (state["amount_mean"], state["amount_std"]) == pytest.approx(want, rel=1e-14, nan_ok=True)
+    deltas = [1.5 * (2 * i + 1) for i in range(len(amounts) - 1)]
+    assert state["time_mean"] == pytest.approx(statistics.fmean(deltas) if deltas else 0.0)
+    assert state["time_std"] == pytest.approx(statistics.stdev(deltas) if len(deltas) > 1 else 1.0)
+
+
+def test_score_does_not_depend_on_the_windows_beside():
+    rng = np.random.default_rng(3)
+    unit = GatedUnit.fresh(14, 64, 42)
+    unit = GatedUnit(14, 64, unit.flat * 3)
+    x = rng.normal(size=(4000, 16, 14))
+    together = unit.probability(x)
+    assert (together[:50] == [unit.probability(x[i : i + 1])[0] for i in range(50)]).all()
+    for piece in (512, 77):
+        order = rng.permutation(len(x))
+        dealt = np.concatenate([unit.probability(x[order[i : i + piece]]) for i in range(0, len(x), piece)])
+        assert (dealt == together[order]).all()
+
+
+def test_scored_windows_stay_above_zero():
+    """A score of 0 is that of rows outside a window."""
+    unit = GatedUnit(1, 2, np.zeros(GatedUnit.size(1, 2)))
+    unit.parts()[-1][:] = -60.0
+    assert 0 < unit.probability(np.ones((1, 3, 1)))[0] < 1e-25
